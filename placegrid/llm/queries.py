@@ -4,16 +4,45 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import simhash
+from placegrid.llm import fingerprints, packing, quality_classifier, quality_rules, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, expected_severity, p_toxic, grade and toxic (p_toxic over one half) of every document."""
+    out = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("toxic", (F.col("p_toxic") > 0.5).cast("int"))
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_failed and kept of every document."""
+    out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
+
+
+def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document."""
+    out = quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 lower-case hex digits), component_id of every document."""
     out = simhash.simhash_components(table(spark, sf_dir, "documents"))
@@ -22,6 +51,11 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity_ordinal": op1_toxicity_ordinal,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_weighted_fingerprints": op4_weighted_fingerprints,
+        "op7_risk_controlled_rules": op7_risk_controlled_rules,
+        "op9_subword_quality": op9_subword_quality,
         "op10_simhash_bktree": op10_simhash_bktree,
     }
 
