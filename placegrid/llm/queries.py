@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import fingerprints, packing, quality_classifier, quality_rules, simhash, toxicity
+from placegrid.llm import byte_suffixes, fingerprints, packing, quality_classifier, quality_rules, simhash, toxicity, word_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,22 @@ def op4_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document."""
+    return word_blocks.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op8_merged_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    return byte_suffixes.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     out = quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,7 +64,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity_ordinal": op1_toxicity_ordinal,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_weighted_fingerprints": op4_weighted_fingerprints,
+        "op5_block_anchors": op5_block_anchors,
         "op7_risk_controlled_rules": op7_risk_controlled_rules,
+        "op8_merged_suffixes": op8_merged_suffixes,
         "op9_subword_quality": op9_subword_quality,
         "op10_simhash_bktree": op10_simhash_bktree,
     }
