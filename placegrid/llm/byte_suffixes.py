@@ -163,10 +163,21 @@ def strings(chunk: Chunk, reply: bytes, length: int) -> tuple[np.ndarray, np.nda
     return np.concatenate(at), np.concatenate(h)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes), kept_sha256, spans (starts and ends of removed runs)."""
+def whole_characters(text: bytes, gone: np.ndarray) -> str:
+    """The text without the UTF-8 characters of which every byte is removed."""
+    data = np.frombuffer(text, np.uint8)
+    first = np.flatnonzero((data & 0xC0) != 0x80)
+    keep = ~np.logical_and.reduceat(gone, first)
+    return data[np.repeat(keep, np.diff(np.r_[first, len(data)]))].tobytes().decode("utf-8", "replace")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (remaining bytes), kept_sha256, spans (starts and ends of removed runs).
+
+    Besides, ``text`` (as kept, but characters that are removed in part stay whole) and the string columns ``carry``.
+    """
     ranges = partitions(docs, 6 << 20)
-    chunks = chunked(docs)
+    chunks = chunked(docs, carry)
     parsed = exchanged(chunks, "prefix", lambda c, _: Parse(c).keys, merged, ranges)
 
     def compare(c: Chunk, got: dict[str, bytes]) -> Keys:
@@ -184,7 +195,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         flags = np.zeros(int(size.sum()), bool)
         flags[at[again[row]]] = True
         gone = covered(flags, length)
-        out: dict = {"doc_id": c.ids, "n_bytes": size, "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": [], "spans": []}
+        out: dict = {"doc_id": c.ids, "n_bytes": size, "n_removed": [], "n_spans": [], "kept": [], "kept_sha256": [], "spans": [], "text": []}
+        out |= dict(zip(carry, c.carried, strict=True))
         for text, hi in zip(c.texts, np.cumsum(size).tolist(), strict=True):
             mask = gone[hi - len(text) : hi]
             turn = np.flatnonzero(np.diff(np.r_[False, mask, False])).tolist()
@@ -194,6 +206,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             out["kept"].append(kept)
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["spans"].append(turn)
+            out["text"].append(whole_characters(text, mask) if turn else text.decode("utf-8", "replace"))
         return out
 
-    return finished(compared, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<int>")
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string, spans array<int>, text string"
+    return finished(compared, finish, ", ".join([schema, *(f"{c} string" for c in carry)]))

@@ -70,6 +70,25 @@ def mapped(df: DataFrame, fn: Callable[[dict], dict], schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def extended(df: DataFrame, fn: Callable[[list], dict], schema: str, column: str = "text") -> DataFrame:
+    """All columns of ``df`` passed through, with those that ``fn`` computes from ``column`` (as bytes) appended."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    more = _parse_datatype_string(schema)
+    whole = StructType([*df.schema.fields, *more.fields])
+    arrow, added, at = to_arrow_schema(whole), to_arrow_schema(more), df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                out = fn(b.column(at).cast(pa.binary()).to_pylist())
+                columns = [c.cast(f.type) for c, f in zip(b.columns, arrow, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(out[f.name], f.type) for f in added)], schema=arrow)
+
+    return df.mapInArrow(run, whole)
+
+
 def salted_join(rows: DataFrame, small: DataFrame, key: str, salt_of: str, how: str = "left", salts: int = 16) -> DataFrame:
     """Join where ``rows`` may hold a hot key: ``small`` (one row a key) is repeated for each salt of ``rows``."""
     left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))

@@ -23,7 +23,7 @@ from placegrid.llm.common import mix, partitions, texts, tune, written
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
 CHUNK = 4 << 20
-CHUNK_SCHEMA = "part long, ids array<bigint>, sizes array<int>, data binary"
+CHUNK_SCHEMA = "part long, ids array<bigint>, sizes array<int>, data binary, carried array<array<string>>"
 
 
 class Keys(NamedTuple):
@@ -37,31 +37,37 @@ class Keys(NamedTuple):
 class Chunk(NamedTuple):
     ids: list[int | None]
     texts: list[bytes]
+    carried: list[list[str | None]]
 
 
-def unpacked(ids: list, sizes: list[int], data: bytes) -> Chunk:
-    stop = np.cumsum(sizes).tolist()
-    return Chunk(ids, [data[e - n : e] for n, e in zip(sizes, stop, strict=True)])
+def unpacked(row: dict) -> Chunk:
+    stop = np.cumsum(row["sizes"]).tolist()
+    return Chunk(row["ids"], [row["data"][e - n : e] for n, e in zip(row["sizes"], stop, strict=True)], row["carried"])
 
 
-def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """Documents (null text: empty) packed into rows of about ``size`` bytes, as a table bucketed by ``part``."""
+def chunked(docs: DataFrame, carry: tuple[str, ...] = (), size: int = CHUNK) -> DataFrame:
+    """Documents (null text: empty) packed into rows of about ``size`` bytes, as a table bucketed by ``part``.
+
+    ``carry``: further string columns that travel with the documents.
+    """
     spark = docs.sparkSession
     tune(spark)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, ids, held, total = TaskContext.get().partitionId() << 24, [], [], 0
+        part, ids, held, total, more = TaskContext.get().partitionId() << 24, [], [], 0, [[] for _ in carry]
 
         def row() -> pa.RecordBatch:
-            columns = ([part], [ids], [[len(t) for t in held]], [b"".join(held)])
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "ids", "sizes", "data"])
+            columns = ([part], [ids], [[len(t) for t in held]], [b"".join(held)], [more])
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.list_(pa.string())))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "ids", "sizes", "data", "carried"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc, text, *other in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if ids and total + len(text or b"") > size:
                     yield row()
-                    part, ids, held, total = part + 1, [], [], 0
+                    part, ids, held, total, more = part + 1, [], [], 0, [[] for _ in carry]
+                for m, o in zip(more, other, strict=True):
+                    m.append(o)
                 ids.append(doc)
                 held.append(text or b"")
                 total += len(held[-1])
@@ -69,7 +75,7 @@ def chunked(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             yield row()
 
     name = f"placegrid_{uuid.uuid4().hex}"
-    rows = texts(docs).mapInArrow(pack, CHUNK_SCHEMA)
+    rows = texts(docs, *carry).mapInArrow(pack, CHUNK_SCHEMA)
     n = partitions(docs, 8 << 20)
     rows.write.bucketBy(n, "part").sortBy("part").option("compression", "zstd").format("parquet").saveAsTable(name)
     return spark.table(name)
@@ -89,7 +95,7 @@ def decoded(data: bytes, n: int, low: int) -> np.ndarray:
 
 
 def replies(row: dict) -> dict[str, bytes]:
-    return {n: v or b"" for n, v in row.items() if n not in ("part", "ids", "sizes", "data")}
+    return {n: v or b"" for n, v in row.items() if n not in ("part", "ids", "sizes", "data", "carried")}
 
 
 def two_bits(values: np.ndarray) -> bytes:
@@ -125,7 +131,7 @@ def exchanged(chunks: DataFrame, name: str, make: Callable[[Chunk, dict[str, byt
         for b in batches:
             for i in range(b.num_rows):
                 c = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
-                k = make(unpacked(c["ids"], c["sizes"], c["data"]), replies(c))
+                k = make(unpacked(c), replies(c))
                 cut = [*np.searchsorted(k.key, np.array(edges, np.uint64)).tolist(), len(k.key)]
                 rows = []
                 for r, (lo, hi) in enumerate(zip(cut, cut[1:], strict=False)):
@@ -186,7 +192,7 @@ def finished(chunks: DataFrame, fn: Callable[[Chunk, dict[str, bytes]], dict], s
         for b in batches:
             for i in range(b.num_rows):
                 c = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
-                out = fn(unpacked(c["ids"], c["sizes"], c["data"]), replies(c))
+                out = fn(unpacked(c), replies(c))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return chunks.mapInArrow(run, schema)

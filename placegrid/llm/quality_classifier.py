@@ -11,6 +11,7 @@ rows score alike; without labels of both classes every score is the prior; extra
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from operator import eq
 
 import numpy as np
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.llm.common import mapped, texts, tune
+from placegrid.llm.common import extended, mapped, texts, tune
 from placegrid.llm.hashed import CACHE, sample, subwords
 
 BUCKETS, DIM = 1 << 17, 6
@@ -85,12 +86,12 @@ def train(data: pd.DataFrame, epochs: int = 5, rate: float = 2.0, batch: int = 1
     return (vectors @ (out[1] - out[0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def scored(docs: DataFrame, folded: np.ndarray, bias: float) -> DataFrame:
-    """doc_id, score of every whole text under a trained table (of fixed size, so it travels with the task)."""
+def scorer(folded: np.ndarray, bias: float) -> Callable[[list], dict]:
+    """Scores of whole texts under a trained table, which has a fixed size and so travels with the task."""
     known: dict[bytes, tuple[float, int]] = {}
 
-    def run(c: dict) -> dict:
-        found = [counted(t or b"") for t in c["text"]]
+    def run(texts: list) -> dict:
+        found = [counted(t or b"") for t in texts]
         if len(known) >= CACHE:
             known.clear()
         if new := list({w for words in found for w in words if w not in known}):
@@ -105,9 +106,9 @@ def scored(docs: DataFrame, folded: np.ndarray, bias: float) -> DataFrame:
                 total += n * s
                 count += n * size
             z.append(bias + (total / count if count else 0.0))
-        return {"doc_id": c["doc_id"], "score": 1 / (1 + np.exp(-np.clip(np.array(z), -50, 50)))}
+        return {"score": 1 / (1 + np.exp(-np.clip(np.array(z), -50, 50)))}
 
-    return mapped(texts(docs), run, "doc_id long, score double")
+    return run
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: int = SIZE) -> DataFrame:
@@ -115,4 +116,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = ROWS, size: i
     tune(docs.sparkSession)
     data = sample(docs, labels.where(~held_out()), "quality", rows, size)
     data["label"] = data["label"].clip(0, 1)
-    return scored(docs, *train(data))
+    run = scorer(*train(data))
+    return mapped(texts(docs), lambda c: {"doc_id": c["doc_id"]} | run(c["text"]), "doc_id long, score double")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, rows: int = ROWS, size: int = SIZE) -> DataFrame:
+    """The documents whose score is at least ``least``, with their own columns."""
+    tune(docs.sparkSession)
+    data = sample(docs, labels.where(~held_out()), "quality", rows, size)
+    data["label"] = data["label"].clip(0, 1)
+    return extended(docs, scorer(*train(data)), "score double").where(F.col("score") >= least).select(*docs.columns)

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.llm.common import mapped, texts, tune, written
+from placegrid.llm.common import extended, mapped, texts, tune, written
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_punct")
@@ -153,3 +153,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta
     stats = written(signals(docs))
     cuts = calibrated(stats, labels, alpha, delta)
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected(cuts)))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
+    """The documents that no rule rejects, with their own columns; the texts are measured again rather than shuffled."""
+    tune(docs.sparkSession)
+    cuts = calibrated(written(signals(docs)), labels, alpha, delta)
+
+    def run(texts: list) -> dict:
+        rows = [measured(t or b"") for t in texts]
+        return {n: [r[i] for r in rows] for i, n in enumerate(BASE + MORE)}
+
+    rows = extended(docs, run, ", ".join(f"{n} long" for n in BASE + MORE))
+    return rows.where(~(base_failed() | rejected(cuts))).select(*docs.columns)

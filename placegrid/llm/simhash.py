@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegrid.llm.common import mapped, partitions, salted_join, texts, tune, written
@@ -207,3 +207,13 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     least = member.groupBy("label").agg(F.min("rep").alias("component_id"))
     member = written(member.join(least, "label").select("fp", "component_id"))
     return salted_join(fps, member, "fp", "doc_id", "inner")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """The document with the least id of each component, once; documents without an id all stay."""
+    groups = simhash_components(docs.select("doc_id", "text"), radius, shingle)
+    least = groups.where("doc_id = component_id").select("doc_id").distinct()
+    stay = docs.join(least, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("_nth")
+    once = stay.select("*", first).where("_nth = 1").select(*docs.columns)
+    return once.unionByName(docs.where("doc_id is null"))
