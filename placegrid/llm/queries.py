@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import byte_suffixes, fingerprints, packing, quality_classifier, quality_rules, simhash, toxicity, word_blocks
+from placegrid.llm import byte_suffixes, fingerprints, packing, pieces, quality_classifier, quality_rules, simhash, toxicity, warc, word_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,12 @@ def op1_toxicity_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("toxic", (F.col("p_toxic") > 0.5).cast("int"))
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, as read back from the archives."""
+    out = warc.archived(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -36,6 +42,12 @@ def op5_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_blocks.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_sentencepiece_batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, decoded_sha256, round_trip of every document."""
+    out = pieces.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip")
+
+
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     out = quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,9 +74,11 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_ordinal": op1_toxicity_ordinal,
+        "op2_warc_index": op2_warc_index,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_weighted_fingerprints": op4_weighted_fingerprints,
         "op5_block_anchors": op5_block_anchors,
+        "op6_sentencepiece_batched": op6_sentencepiece_batched,
         "op7_risk_controlled_rules": op7_risk_controlled_rules,
         "op8_merged_suffixes": op8_merged_suffixes,
         "op9_subword_quality": op9_subword_quality,
@@ -72,5 +86,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS keeper FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, d.payload_bytes, d.payload_digest,
+       CASE WHEN m.keeper IS NULL OR m.keeper = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN m.keeper <> d.page_id THEN m.keeper END AS refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest
+"""
+
+OP5_SQL = """
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, i, hash(array_to_string(w[i:i + 34], ' ')) AS h, md5(array_to_string(w[i:i + 34], ' ')) AS m
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h, m) AS n FROM s) WHERE n > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r),
+x AS (SELECT doc_id, j, w[j] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM t)),
+k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.j = g.j GROUP BY x.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id)
+SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc_index": OP2_SQL, "op5_block_anchors": OP5_SQL}
