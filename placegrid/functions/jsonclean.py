@@ -21,9 +21,8 @@ POINT = "center string, weight string, reasoning string"
 def clean_initial(text: Column) -> Column:
     """The JSON part of a reply: fences and trailing commas dropped, then the outermost list or object, whichever
     starts first; "none" in any case becomes the token None."""
-    t = F.trim(text)
-    t = F.regexp_replace(F.regexp_replace(t, "(?i)```json", ""), "```", "")
-    t = F.trim(F.regexp_replace(t, r",\s*([}\]])", "$1"))
+    t = F.regexp_replace(text, "(?i)```json|```", "")
+    t = F.regexp_replace(F.regexp_replace(t, r",\s*([}\]])", "$1"), r"^\s+|\s+$", "")
     found_list, found_map = F.regexp_extract(t, r"(?s)(\[.*\])", 1), F.regexp_extract(t, r"(?s)(\{.*\})", 1)
     at_list, at_map = F.instr(t, "["), F.instr(t, "{")
     list_first = (found_list != "") & ((found_map == "") | (at_list < at_map))

@@ -15,8 +15,8 @@ def number(text: Column) -> Column:
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
-    """x limited to [low, high]; NaN and NULL give NULL (least and greatest would treat NaN as largest)."""
-    return F.when(~F.isnan(x), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
+    """x limited to [low, high]; NaN and NULL give NULL (least and greatest would skip NULL and treat NaN as largest)."""
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
 def human_duration(seconds: Column) -> Column:

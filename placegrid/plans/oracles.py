@@ -58,7 +58,7 @@ c AS (SELECT event_id, CASE WHEN lower(t) = 'none' THEN 'None' WHEN l <> '' AND
 _CELLS = "k(key) AS (SELECT chr(65 + r.i::INT) || (c.i + 1) FROM range(0, {n}) r(i), range(0, {n}) c(i))"
 _GRID = f"g AS (SELECT event_id, {X.GRID} AS j FROM events)"
 _CELL = "TRY_CAST(json_extract_string(j, '$.' || key) AS DOUBLE)"
-_PATCHED = f"{_GRID}, {_CELLS.format(n=4)}, pg AS (SELECT event_id, key, coalesce(least(greatest({_CELL}, 0), 2), 1.0) AS w FROM g, k)"
+_PATCHED = f"{_GRID}, {_CELLS.format(n=4)}, pg AS (SELECT event_id, key, CASE WHEN {_CELL} IS NULL THEN 1.0 ELSE least(greatest({_CELL}, 0), 2) END AS w FROM g, k)"
 
 
 def _valid(n: int) -> str:
@@ -130,7 +130,7 @@ SELECT l.event_id, l.gy AS y, l.gx AS x, round(least(greatest(sum(exp(l - m) * w
     "gem_weighted": f"WITH {_FEATURES}, z AS (SELECT *, 0.5::DOUBLE AS alpha FROM ex) SELECT vec_id, c, round({_WEIGHTED}, 6) AS g FROM z GROUP BY vec_id, c",
     "alpha_sweep": f"WITH {_FEATURES}, z AS (SELECT ex.*, alpha FROM ex, (VALUES (0::DOUBLE), (0.5::DOUBLE), (1::DOUBLE)) v(alpha)), r AS (SELECT alpha, vec_id, c, CASE WHEN alpha = 0 THEN pow(avg(p), 1::DOUBLE / 3) ELSE {_WEIGHTED} END AS g FROM z GROUP BY alpha, vec_id, c) SELECT alpha, round(avg(g), 6) AS mean, count(*) AS n FROM r GROUP BY alpha",
     "resume_pending": "SELECT o_orderkey AS item FROM orders WHERE o_orderstatus <> 'F'",
-    "retry_pending": "WITH l AS (SELECT l_orderkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 1000000000 + l_partkey DESC) = 1) SELECT o_orderkey AS item FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l WHERE l_returnflag <> 'R')",
+    "retry_pending": "WITH l AS (SELECT l_orderkey, l_returnflag FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_returnflag = 'R' DESC) = 1) SELECT o_orderkey AS item FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM l WHERE l_returnflag <> 'R')",
     "prefix_done": "SELECT 'img_' || c_custkey || '.jpg' AS item FROM customer WHERE c_custkey IN (SELECT s_suppkey * 10 FROM supplier)",
     "shard_completeness": "WITH e AS (SELECT DISTINCT event_id // 10 AS shard FROM events), f AS (SELECT event_id // 10 AS shard, count(*) FILTER (event_id % 11 <> 3) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY 1) SELECT count(*) AS expected, count(*) FILTER (n > 0) AS found, count(*) FILTER (n IS NULL) AS missing, count(*) FILTER (n = 0) AS corrupt, round(count(*) FILTER (n > 0) / count(*), 6) AS rate FROM e LEFT JOIN (SELECT * FROM f WHERE shard % 9 <> 4) f ON e.shard = f.shard",
     "upsert_latest": "SELECT user_id AS item, event_id AS attempt, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",

@@ -310,7 +310,7 @@ def resume_pending(spark, sf):
 def retry_pending(spark, sf):
     """Line items as attempts: the last one decides, a returned item failed."""
     lines = X.table(spark, sf, "lineitem")
-    tries = lines.select(F.col("l_orderkey").alias("item"), (F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")).alias("attempt"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"))
+    tries = lines.select(F.col("l_orderkey").alias("item"), ((F.col("l_linenumber").cast("long") * 1000000000 + F.col("l_partkey")) * 2 + (F.col("l_returnflag") == "R").cast("int")).alias("attempt"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"))
     return ledger.to_retry(order_items(spark, sf).select("item"), tries)
 
 
