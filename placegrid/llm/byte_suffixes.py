@@ -35,7 +35,7 @@ LENGTH, GRAM, SPARSE, DEPTH = 200, 24, 40, 3
 #: Bits of the first phrase's hash that are sent; phrases only choose what is compared in full.
 PHRASE_BITS = 48
 #: Bytes hashed at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 

@@ -7,6 +7,8 @@ bytes will do.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -96,6 +98,14 @@ def salted_join(rows: DataFrame, small: DataFrame, key: str, salt_of: str, how:
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can; large arrays otherwise linger in the worker."""
+    if sys.platform == "linux":
+        release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if release:
+            release(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash (xor-shift and multiply), vectorised and invertible."""
     h = h ^ (h >> np.uint64(32))

@@ -19,10 +19,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.llm.common import mix, partitions, texts, tune, written
+from placegrid.llm.common import mix, partitions, texts, trim, tune, written
 
 #: Bytes of text in a chunk (a longer document is a chunk of its own).
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 CHUNK_SCHEMA = "part long, ids array<bigint>, sizes array<int>, data binary, carried array<array<string>>"
 
 
@@ -139,6 +139,8 @@ def exchanged(chunks: DataFrame, name: str, make: Callable[[Chunk, dict[str, byt
                         more = b"" if k.more is None else k.more[lo:hi].astype("<u4").T.tobytes()
                         asked = b"" if k.asked is None else np.packbits(k.asked[lo:hi]).tobytes()
                         rows.append((r, c["part"], hi - lo, coded(k.key[lo:hi], edges[r]), more, asked))
+                del k
+                trim()
                 if rows:
                     kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["r", "part", "n", "keys", "more", "asked"])
@@ -164,6 +166,7 @@ def exchanged(chunks: DataFrame, name: str, make: Callable[[Chunk, dict[str, byt
                 if held and held[0]["r"] != x["r"]:
                     yield solved(held)
                     held = []
+                    trim()
                 held.append(x)
         if held:
             yield solved(held)
@@ -194,6 +197,8 @@ def finished(chunks: DataFrame, fn: Callable[[Chunk, dict[str, bytes]], dict], s
                 c = {n: b.column(j)[i].as_py() for j, n in enumerate(b.schema.names)}
                 out = fn(unpacked(c), replies(c))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                del out
+                trim()
 
     return chunks.mapInArrow(run, schema)
 

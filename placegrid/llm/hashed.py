@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from placegrid.llm.common import mix
 
 #: Words remembered by a Python worker before it starts afresh.
-CACHE = 150_000
+CACHE = 100_000
 
 
 def subwords(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -26,7 +26,7 @@ from placegrid.llm.exchange import Chunk, Keys, chunked, covered, exchanged, fin
 WINDOW = 35
 #: Bits of a probe's hash; probes only choose what is compared in full.
 PROBE_BITS = 48
-CACHE = 400_000
+CACHE = 200_000
 _known: dict[bytes, int] = {}
 
 
