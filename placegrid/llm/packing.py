@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from placegrid.llm.common import mapped, texts, tune, written
+from placegrid.llm.common import mapped, texts, trim, tune, written
 
 SIZE = 2048
-CACHE = 500_000
+CACHE = 400_000
 #: Full stops and commas between a letter and the end of a unit: always a token boundary of their own.
 STOP = re.compile(rb"(?<=[a-z])([.,]+)(?=\s|$)")
 
@@ -119,8 +119,21 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([], [], [])))
 
 
+#: With these alone (besides letters beyond ASCII), every stop or comma before white space closes a unit.
+PLAIN = bytes(c for c in range(128) if chr(c).isalnum() or chr(c) in " \n.,")
+
+
 def units_of(text: bytes) -> list[bytes]:
-    return STOP.sub(rb" \1", text if b"<|" in text else text.lower()).split()
+    if b"<|" in text:
+        return STOP.sub(rb" \1", text).split()
+    text = text.lower()
+    rest = text.translate(None, PLAIN)
+    if (not rest or rest.decode("utf-8", "replace").isalpha()) and not any(x in text for x in (b"..", b".,", b",.", b",,")):
+        text += b" "
+        for mark in (b".", b","):
+            text = text.replace(mark + b" ", b" " + mark + b" ").replace(mark + b"\n", b" " + mark + b"\n")
+        return text.split()
+    return STOP.sub(rb" \1", text).split()
 
 
 class Encoder:
@@ -130,17 +143,40 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that close a word
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def learn(self, units: list[bytes]) -> None:
+        """Encode units: those of letters alone are one word each, so many are encoded as one text and cut at word ends."""
+        words = [u.decode("utf-8", "replace") for u in units]
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        other = [i for i, w in enumerate(words) if not w.isalpha()]
+        for at in range(0, len(plain), 4000):
+            some = plain[at : at + 4000]
+            [got] = self.tokenizer.encode_batch_fast([" ".join([words[i] for i in some])], add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            stop = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(stop) != len(some):  # a letter whose lower case is not one
+                other += some
+                continue
+            data, lo = ids.tobytes(), 0
+            for i, hi in zip(some, stop, strict=True):
+                self.known[units[i]] = data[lo:hi]
+                lo = hi
+        for at in range(0, len(other), 2000):
+            some = other[at : at + 2000]
+            got = self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False)
+            self.known.update((units[i], np.array(e.ids, "<u4").tobytes()) for i, e in zip(some, got, strict=True))
 
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         units = [units_of(t or b"") for t in texts]
-        if len(self.known) >= CACHE:
-            self.known.clear()
         known = self.known
-        if new := list({u for us in units for u in us if u not in known}):
-            for at in range(0, len(new), 2000):
-                some = new[at : at + 2000]
-                got = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in some], add_special_tokens=False)
-                known.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in got), strict=True))
+        if len(known) >= CACHE:
+            known.clear()
+            trim()
+        if new := list(set().union(*units).difference(known)):
+            self.learn(new)
         end = b"\0\0\0\0"
         return [b"".join(map(known.__getitem__, us)) + end for us in units]
 
