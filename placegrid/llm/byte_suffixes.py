@@ -143,12 +143,15 @@ def merged(shards: list[Keys]) -> list[np.ndarray]:
 
 def candidates(p: Parse, depth: np.ndarray, b: Block, before: int, length: int) -> np.ndarray:
     """Starts of the strings of ``length`` bytes whose anchors' phrases repeat, or that have no anchor."""
-    start = b.starts(length).astype(np.int64)
-    first = np.searchsorted(p.at, start + before)
-    last = np.searchsorted(p.at, start + before + length - GRAM, side="right")
-    inside = np.minimum(last - first, DEPTH)
-    known = np.r_[depth, 0][first]
-    return start[(inside <= 0) | (known >= inside)]
+    lo, hi = np.searchsorted(p.at, [before, before + len(b.end)])
+    count = np.zeros(len(b.end) + 2, np.int32)  # anchors before each position, by one running sum
+    count[p.at[lo:hi] - before + 1] = 1
+    np.cumsum(count, out=count)
+    start = b.starts(length)
+    first = count[start]
+    inside = np.minimum(count[start + (length - GRAM + 1)] - first, DEPTH)
+    known = np.r_[depth[lo:hi], 0].astype(np.int8)[first]
+    return start[(inside <= 0) | (known >= inside)].astype(np.int64)
 
 
 def strings(chunk: Chunk, reply: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
