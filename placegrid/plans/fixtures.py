@@ -54,9 +54,15 @@ def spark_sql(text: str) -> str:
     return text.replace("AS VARCHAR(9)", "AS STRING")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Small single-file tables dealt over the cores; tables with enough partitions stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def built(spark: SparkSession, sf_dir: str, source: str, key: str, **columns: str) -> DataFrame:
     """``key`` of a table and columns from shared expressions ({k} stands for the key)."""
-    rows = table(spark, sf_dir, source)
+    rows = spread(table(spark, sf_dir, source).select(key))
     return rows.select(key, *[F.expr(spark_sql(e.replace("{k}", key))).alias(n) for n, e in columns.items()])
 
 
