@@ -209,11 +209,15 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     return salted_join(fps, member, "fp", "doc_id", "inner")
 
 
+def once(docs: DataFrame, least: DataFrame) -> DataFrame:
+    """The documents whose doc_id is in ``least``, once each, and all without an id."""
+    stay = docs.join(least, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("_nth")
+    kept = stay.select("*", first).where("_nth = 1").select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The document with the least id of each component, once; documents without an id all stay."""
     groups = simhash_components(docs.select("doc_id", "text"), radius, shingle)
-    least = groups.where("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.join(least, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("_nth")
-    once = stay.select("*", first).where("_nth = 1").select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    return once(docs, groups.where("doc_id = component_id").select("doc_id").distinct())
