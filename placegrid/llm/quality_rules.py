@@ -1,23 +1,30 @@
 """Quality rules whose cutoffs are chosen under an exact bound on false rejection.
 
-Each rule rejects a document whose signal lies above a cutoff. Labelled documents are the holdout: in each stratum
-(language) and for each rule, cutoffs are tried from the most lenient on; a cutoff is admissible while the exact
-binomial (Clopper-Pearson) upper bound on its false rejection of good documents stays at or below ``alpha / rules``.
-The confidence is corrected by Bonferroni over strata and rules; along the nested cutoffs of one rule fixed-sequence
-testing needs no further correction. Of the admissible cutoffs the one that rejects most labelled junk, less
-``cost`` times the rejected good documents, is taken (ties: the most lenient). So with probability ``1 - delta`` no
-stratum loses more than ``alpha`` of its good documents. A stratum with too few labels gets no cutoffs.
+Each rule rejects a document whose signal lies above a cutoff. Labelled documents are the holdout; the strata are
+languages. In each stratum a share of them (``DESIGN``, by a hash of doc_id) lays out one nested sequence of cutoffs of
+all rules: rule by rule, in the order of what they gain, from the most lenient cutoff to the one that rejects most
+labelled junk, less ``cost`` times the rejected good documents. The others test it (fixed-sequence testing needs no
+correction along the way): a step is admissible while the exact binomial (Clopper-Pearson) upper bound on the false
+rejection of good documents by all rules together stays at or below ``alpha``; the sum of the rules' counts stands for
+their union, which it never falls below. The confidence is corrected by Bonferroni over the strata. Of the admissible
+steps the one that rejects most labelled junk, less ``cost`` times the rejected good documents, is taken (ties: the
+most lenient). So with probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents.
+
+The ``STRATA`` languages with most labels are strata of their own, a null and an empty lang among them; further ones,
+and those whose good labels are too few for a bound of their own, share a common stratum, whose bound holds for them
+taken together. A stratum without cutoffs is reported as a warning.
 
 Counts come from every document in one pass over the texts; what is collected is a histogram of at most
-``STRATA * rules * (BINS + 1)`` cells.
+``(STRATA + 1) * rules * (BINS + 1)`` cells for each half of the labels.
 
-Nulls and edges: a null text has no words and fails the base rule; a null lang is a stratum of its own; a null or
+Nulls and edges: a null text has no words and fails the base rule; a null lang is a language of its own; a null or
 unlabelled doc_id is judged but does not calibrate; of several labels of a document the least quality counts; an empty
 table gives no rows; extra columns pass through ``apply`` untouched.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -29,6 +36,10 @@ from placegrid.llm.common import extended, mapped, texts, tune, written
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 MORE = ("n_lines", "n_upper", "n_punct")
 STRATA, BINS = 64, 200
+#: The stratum of the languages that have none of their own.
+COMMON = -1
+#: One labelled document in so many lays out the sequence of cutoffs.
+DESIGN = 4
 #: Signal: (numerator, denominator); higher is worse.
 RULES = {
     "symbols": ("n_symbols", "word_chars"),
@@ -84,8 +95,14 @@ def signals(docs: DataFrame) -> DataFrame:
     return mapped(texts(docs, "lang"), run, "doc_id long, lang string, " + ", ".join(f"{n} long" for n in BASE + MORE))
 
 
-def stratum() -> Column:
-    return F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(STRATA)).cast("int")
+def stratum(langs: list[str | None]) -> Column:
+    """The place of the document's language in ``langs``, or COMMON."""
+    out = F.lit(COMMON)
+    if None in langs:
+        out = F.when(F.col("lang").isNull(), F.lit(langs.index(None))).otherwise(out)
+    if own := [F.lit(x) for i, n in enumerate(langs) if n is not None for x in (n, i)]:
+        out = F.coalesce(F.element_at(F.create_map(*own), F.col("lang")), out)
+    return out
 
 
 def level(rule: str) -> Column:
@@ -107,43 +124,78 @@ def most_rejected(n: int, rate: float, risk: float) -> int:
     return int((tail <= risk).sum()) - 1
 
 
-def cutoffs(hist: dict[tuple[int, str], np.ndarray], alpha: float, delta: float, cost: float) -> dict[tuple[int, str], int]:
-    """(stratum, rule) -> cutoff; hist: by stratum and rule an array [quality, level] of labelled documents."""
-    strata, found = len({s for s, _ in hist}), {}
-    for (s, rule), h in hist.items():
-        above = h.sum(axis=1, keepdims=True) - np.cumsum(h, axis=1)  # rejected by cutoff c: level > c
-        allowed = most_rejected(int(h[1].sum()), alpha / len(RULES), delta / (strata * len(RULES)))
-        good = above[1] <= allowed
-        first = BINS - int(np.argmin(good[::-1])) + 1 if not good.all() else 0  # nested: the first failure ends the sequence
-        if allowed >= 0 and first <= BINS:
-            value = above[0] - cost * above[1]
-            c = max(range(first, BINS + 1), key=lambda c: (value[c], c))
-            if value[c] > 0:
-                found[s, rule] = c
+def sequence(design: dict[str, np.ndarray], cost: float) -> list[tuple[str, int]]:
+    """The steps (rule, cutoff), each a little stricter than the one before; ``design``: by rule [quality, level]."""
+    value = {r: (above := h.sum(axis=1, keepdims=True) - np.cumsum(h, axis=1))[0] - cost * above[1] for r, h in design.items()}
+    goal = {r: max(range(BINS + 1), key=lambda c: (v[c], c)) for r, v in value.items()}  # noqa: B023
+    order = sorted((r for r in value if value[r][goal[r]] > 0), key=lambda r: (-value[r][goal[r]], r))
+    return [(r, c) for r in order for c in range(BINS - 1, goal[r] - 1, -1)]
+
+
+def cutoffs(hist: dict[tuple[int, str], np.ndarray], alpha: float, delta: float, cost: float, design: dict[tuple[int, str], np.ndarray] | None = None) -> dict[tuple[int, str], int]:
+    """(stratum, rule) -> cutoff; hist: by stratum and rule an array [quality, level] of labelled documents.
+
+    ``design`` is the same of documents that are not in ``hist``; without it the junk of ``hist`` alone, which the bound
+    does not rest on, lays out the sequence.
+    """
+    strata, found = sorted({s for s, _ in hist}), {}
+    for s in strata:
+        own = {r: h for (t, r), h in hist.items() if t == s}
+        plan = {r: (design or {}).get((s, r), np.zeros_like(h)) if design is not None else h * [[1], [0]] for r, h in own.items()}
+        above = {r: h.sum(axis=1, keepdims=True) - np.cumsum(h, axis=1) for r, h in own.items()}  # rejected by cutoff c: level > c
+        allowed = most_rejected(max(int(h[1].sum()) for h in own.values()), alpha, delta / len(strata))
+        at, best, taken = dict.fromkeys(own, BINS), 0.0, {}
+        for rule, c in sequence(plan, cost):
+            at[rule] = c
+            junk, good = (sum(int(above[r][q][at[r]]) for r in at) for q in (0, 1))
+            if good > allowed:
+                break  # nested: the first failure ends the sequence
+            if junk - cost * good > best:
+                best, taken = junk - cost * good, {(s, r): c for r, c in at.items() if c < BINS}
+        found |= taken
     return found
 
 
-def calibrated(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, cost: float = 20.0) -> dict[tuple[int, str], int]:
-    """Cutoffs from the labelled documents among ``stats``."""
+def pooled(good: dict[int, int], alpha: float, delta: float) -> set[int]:
+    """The strata whose good labels are too few for a bound of their own: they join COMMON."""
+    return {s for s, n in good.items() if s == COMMON or most_rejected(n, alpha, delta / max(len(good), 1)) < 0}
+
+
+def calibrated(stats: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05, cost: float = 20.0) -> tuple[dict[tuple[int, str], int], list[str | None]]:
+    """Cutoffs from the labelled documents among ``stats``, and the languages that are strata of their own."""
     least = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    known = written(stats.where(~base_failed()).join(least, "doc_id"))
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(STRATA).collect()]
     cells = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), level(r).alias("level")) for r in RULES]))
+    plans = (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(DESIGN)) == 0).alias("plans")
     rows = (
-        stats.where(~base_failed()).join(least, "doc_id")
-        .select(stratum().alias("stratum"), (F.col("quality") > 0).cast("int").alias("good"), cells.alias("cell"))
-        .groupBy("stratum", "good", "cell.rule", "cell.level").count().collect()
+        known.select(stratum(langs).alias("stratum"), plans, (F.col("quality") > 0).cast("int").alias("good"), cells.alias("cell"))
+        .groupBy("stratum", "plans", "good", "cell.rule", "cell.level").count().collect()
     )
-    hist: dict[tuple[int, str], np.ndarray] = {}
+    good = dict.fromkeys({r["stratum"] for r in rows}, 0)
+    for r in rows:
+        good[r["stratum"]] += r["count"] if r["good"] and not r["plans"] and r["rule"] == next(iter(RULES)) else 0
+    small = pooled(good, alpha, delta)
+    langs = [n for i, n in enumerate(langs) if i not in small]
+    place = dict(zip(sorted(set(good) - small), range(len(langs)), strict=True))
+    hist: dict[bool, dict[tuple[int, str], np.ndarray]] = {False: {}, True: {}}
     for r in rows:
-        hist.setdefault((r["stratum"], r["rule"]), np.zeros((2, BINS + 1), np.int64))[r["good"], r["level"]] += r["count"]
-    return cutoffs(hist, alpha, delta, cost)
+        key = place.get(r["stratum"], COMMON), r["rule"]
+        for half in hist.values():
+            half.setdefault(key, np.zeros((2, BINS + 1), np.int64))
+        hist[r["plans"]][key][r["good"], r["level"]] += r["count"]
+    cuts = cutoffs(hist[False], alpha, delta, cost, hist[True])
+    for s in sorted({s for s, _ in hist[False]} - {s for s, _ in cuts}):
+        logging.getLogger(__name__).warning("no cutoffs for %s", "the common stratum" if s == COMMON else f"lang {langs[s]!r}")
+    return cuts, langs
 
 
-def rejected(cuts: dict[tuple[int, str], int]) -> Column:
+def rejected(cuts: dict[tuple[int, str], int], langs: list[str | None]) -> Column:
     """Whether a rule of the document's stratum rejects it."""
     out = F.lit(False)
     for rule in RULES:
         if own := [x for (s, r), c in cuts.items() if r == rule for x in (F.lit(s), F.lit(c))]:
-            out = out | (level(rule) > F.coalesce(F.element_at(F.create_map(*own), stratum()), F.lit(BINS)))
+            out = out | (level(rule) > F.coalesce(F.element_at(F.create_map(*own), stratum(langs)), F.lit(BINS)))
     return out
 
 
@@ -151,18 +203,18 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta
     """doc_id, counts, base_failed and kept of every document."""
     tune(docs.sparkSession)
     stats = written(signals(docs))
-    cuts = calibrated(stats, labels, alpha, delta)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected(cuts)))
+    cuts, langs = calibrated(stats, labels, alpha, delta)
+    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~(F.col("base_failed") | rejected(cuts, langs)))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delta: float = 0.05) -> DataFrame:
     """The documents that no rule rejects, with their own columns; the texts are measured again rather than shuffled."""
     tune(docs.sparkSession)
-    cuts = calibrated(written(signals(docs)), labels, alpha, delta)
+    cuts, langs = calibrated(written(signals(docs)), labels, alpha, delta)
 
     def run(texts: list) -> dict:
         rows = [measured(t or b"") for t in texts]
         return {n: [r[i] for r in rows] for i, n in enumerate(BASE + MORE)}
 
     rows = extended(docs, run, ", ".join(f"{n} long" for n in BASE + MORE))
-    return rows.where(~(base_failed() | rejected(cuts))).select(*docs.columns)
+    return rows.where(~(base_failed() | rejected(cuts, langs))).select(*docs.columns)
