@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.llm.common import mix
+from placegrid.llm.common import mix, written
 
 #: Words remembered by a Python worker before it starts afresh.
 CACHE = 100_000
@@ -39,19 +39,30 @@ def stems(word: bytes, buckets: int) -> list[int]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int) -> pd.DataFrame:
-    """(text, label) of at most ``rows`` labelled documents and about ``size`` bytes of text, in an order by hash.
+    """(text, label) of at most ``rows`` labelled documents and ``size`` bytes of text, in an order by hash.
 
     The bound holds what the driver trains on, whatever the corpus; nulls are left out, and of several labels of a
-    document the least counts. A row that alone exceeds ``size`` is left out of the sample.
+    document the least counts. Only labels of documents that are there take places, and a text that does not fit into
+    what is left of ``size`` is passed over for those after it.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    order = F.xxhash64("doc_id", F.lit(7))
-    chosen = known.select("doc_id", "label", order.alias("rank")).orderBy("rank", "doc_id").limit(rows)
-    spark = docs.sparkSession
-    few = spark.createDataFrame(chosen.toPandas(), "doc_id long, label int, rank long")  # at most ``rows`` rows
-    found = docs.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(few), "doc_id").toPandas()
-    found = found[found["bytes"] <= size].drop_duplicates("doc_id").sort_values(["rank", "doc_id"])
-    ids = found.loc[found["bytes"].cumsum() <= size, ["doc_id", "label", "rank"]]
-    few = spark.createDataFrame(ids, "doc_id long, label int, rank long")
-    got = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(few), "doc_id").toPandas()
-    return got.drop_duplicates("doc_id").sort_values(["rank", "doc_id"])[["doc_id", "text", "label"]].reset_index(drop=True)
+    sizes = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("bytes"))
+    there = known.join(sizes, "doc_id").groupBy("doc_id", "label").agg(F.max("bytes").alias("bytes"))
+    there = written(there.select("doc_id", "label", "bytes", F.xxhash64("doc_id", F.lit(7)).alias("rank")))
+    ids, left, more = [], size, there.where(F.col("bytes") <= size)
+    while rows > len(ids):
+        asked = rows - len(ids)
+        some = more.orderBy("rank", "doc_id").limit(asked).toPandas()
+        for r in some.itertuples(index=False):
+            if r.bytes <= left:
+                left -= r.bytes
+                ids.append((int(r.doc_id), int(r.label), int(r.rank)))
+        if len(some) < asked:
+            break
+        last = some.iloc[-1]
+        after = F.struct("rank", "doc_id") > F.struct(F.lit(int(last["rank"])).alias("rank"), F.lit(int(last["doc_id"])).alias("doc_id"))
+        more = there.where(after & (F.col("bytes") <= int(left)))
+    few = docs.sparkSession.createDataFrame(pd.DataFrame(ids, columns=["doc_id", "label", "rank"]), "doc_id long, label int, rank long")
+    got = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null").join(F.broadcast(few), "doc_id").toPandas()
+    got["bytes"] = got["text"].map(len)
+    return got.sort_values(["rank", "doc_id", "bytes"]).drop_duplicates("doc_id")[["doc_id", "text", "label"]].reset_index(drop=True)
