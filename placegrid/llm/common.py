@@ -7,6 +7,7 @@ bytes will do.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import sys
 import tempfile
@@ -15,7 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch; texts of some 100 KB occur, so batches stay small.
@@ -27,20 +28,65 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+#: Folders and tables that this process has made and not deleted yet.
+_made: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new folder name under the cluster's shared ``spark.checkpoint.dir``; a local one only if unset (tests)."""
+    """A new folder name under the cluster's shared ``spark.checkpoint.dir``; a local one only on a local master (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='placegrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/placegrid/{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/placegrid/{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(release)
+    _made[path] = ""
+    return path
+
+
+def table_name(spark: SparkSession) -> tuple[str, str]:
+    """Name and folder of a new table."""
+    path = scratch(spark)
+    _made[path] = f"placegrid_{uuid.uuid4().hex}"
+    return _made[path], path
 
 
 def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     path = scratch(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    if name := _made.pop(path, ""):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``written`` wrote for these, once nothing reads it any more."""
+    for t in tables:
+        if path := t.__dict__.get("_scratch"):
+            deleted(t.sparkSession, path)
+
+
+def release(spark: SparkSession | None = None) -> None:
+    """Delete all scratch folders and tables; results that were not written elsewhere cannot be read after it.
+
+    Runs at the end of the process; a long session calls it between jobs.
+    """
+    spark = spark or SparkSession.getActiveSession()
+    if spark and spark.sparkContext._jsc:
+        for path in list(_made):
+            deleted(spark, path)
 
 
 def partitions(df: DataFrame, per_bytes: int = 16 << 20) -> int:
@@ -51,7 +97,7 @@ def partitions(df: DataFrame, per_bytes: int = 16 << 20) -> int:
     return least if size > 1 << 60 else max(least, -(-size // per_bytes))
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id and the whole text as bytes (null: null), with further columns; others are pruned from the scan."""
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), *more)
 

@@ -109,6 +109,20 @@ SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_
 FROM t LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
+#: Bytes as pairs of hexadecimal digits.
+OP8_SQL = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+s AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS i FROM t WHERE len(x) >= 400)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY m) AS n FROM s) WHERE n > 1),
+e AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM r),
+g AS (SELECT doc_id, min(i) AS lo, max(i) + 200 AS hi FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM e) GROUP BY doc_id, k),
+d AS (SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM g GROUP BY doc_id),
+p AS (SELECT doc_id, hi AS lo, lead(lo) OVER (PARTITION BY doc_id ORDER BY lo) AS hi FROM (SELECT doc_id, lo, hi FROM g UNION ALL SELECT doc_id, -1, 0 FROM t)),
+k AS (SELECT p.doc_id, string_agg(substr(x, 2 * p.lo + 1, 2 * (coalesce(p.hi, len(x) // 2) - p.lo)), '' ORDER BY p.lo) AS kept FROM p JOIN t ON p.doc_id = t.doc_id GROUP BY p.doc_id)
+SELECT t.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM t JOIN k ON t.doc_id = k.doc_id LEFT JOIN d ON t.doc_id = d.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index": OP2_SQL, "op5_block_anchors": OP5_SQL}
+    return {"op2_warc_index": OP2_SQL, "op5_block_anchors": OP5_SQL, "op8_merged_suffixes": OP8_SQL}

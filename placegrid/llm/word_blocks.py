@@ -4,12 +4,12 @@ A word is removed if a window of ``WINDOW`` consecutive words of its document co
 anywhere else. Every such window holds a whole block of ``BLOCK`` = (WINDOW + 1) / 2 words that starts at a multiple of
 BLOCK in its document. These non-overlapping blocks are the index; every rolling window of BLOCK words of the corpus
 probes it (first exchange). Around the blocks that are hit elsewhere, hits are extended: the windows of WINDOW words over
-a hit block are compared exactly as whole sequences (second exchange, 64-bit hashes), and the union of the equal ones is
-the maximal exact repeats. Nothing is paired, so a passage in k documents costs k keys, not k squared links.
+a hit block are compared as whole sequences (second exchange, 128-bit hashes), and the union of the equal ones is the
+maximal exact repeats. Nothing is paired, so a passage in k documents costs k keys, not k squared links.
 
 Nulls and edges: a null text has no words; a text shorter than a window keeps all; repeated rows remove each other; a
-null doc_id is treated like any other; extra columns are ignored; an empty table gives no rows. A false repeat needs two
-of n windows to share a 64-bit hash: n squared over 2^65 for n windows over hit blocks.
+null doc_id is treated like any other; extra columns are ignored; an empty table gives no rows. A task holds a document
+whole. A false repeat needs two of n windows over hit blocks to share 128 bits of hashes: n squared over 2^129.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from xxhash import xxh64_intdigest
 
 from placegrid.llm.common import mix, partitions
-from placegrid.llm.exchange import Chunk, Keys, chunked, covered, exchanged, finished, from_bits, prefix_sums, window_hashes
+from placegrid.llm.exchange import Chunk, Keys, chunked, covered, distinct, exchanged, finished, from_reply, prefix_sums, wide_hashes, window_hashes
 
 WINDOW = 35
 #: Bits of a probe's hash; probes only choose what is compared in full.
@@ -58,33 +58,27 @@ class Windows:
         return window_hashes(self.sums, self.down, start, size)
 
 
-def probes(w: Windows, block: int) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys (all rolling windows, blocks asked for), the starts of the blocks, their keys' indices, and whether the chunk repeats them itself."""
+def probes(w: Windows, block: int) -> tuple[Keys, np.ndarray, np.ndarray]:
+    """Keys (all rolling windows, blocks asked for), the starts of the blocks, and their keys' places."""
     start = w.starts(block)
-    key, at, times = np.unique(w.hashes(start, block) >> np.uint64(64 - PROBE_BITS) << np.uint64(64 - PROBE_BITS), return_inverse=True, return_counts=True)
+    keys, at = distinct(w.hashes(start, block) >> np.uint64(64 - PROBE_BITS) << np.uint64(64 - PROBE_BITS))
     aligned = w.place[start] % block == 0
-    asked = np.zeros(len(key), bool)
+    asked = np.zeros(len(keys.key), bool)
     asked[at[aligned]] = True
-    return Keys(key, None, asked), start[aligned], at[aligned], times[at[aligned]] > 1
+    return keys._replace(asked=asked), start[aligned], at[aligned]
 
 
 def candidates(w: Windows, window: int, block: int, reply: bytes) -> np.ndarray:
     """Starts of the windows whose first whole block is hit elsewhere."""
-    keys, start, at, own = probes(w, block)
-    n = int(keys.asked.sum())
-    order = np.cumsum(keys.asked) - 1
-    hit = own | (from_bits(reply, n)[order[at]] > 0 if n else own)
+    keys, start, at = probes(w, block)
+    hit = np.zeros(len(keys.key), bool)
+    hit[keys.asked] = from_reply(reply, int(keys.asked.sum()), 1)
     hot = np.zeros(len(w.end) + 1, bool)
-    hot[start[hit]] = True
+    hot[start[hit[at]]] = True
     s = w.starts(window)
     return s[hot[s + (-w.place[s]) % block]]
 
 
-def repeated_windows(w: Windows, start: np.ndarray, window: int) -> tuple[Keys, np.ndarray, np.ndarray]:
-    key, at, times = np.unique(w.hashes(start, window), return_inverse=True, return_counts=True)
-    return Keys(key), at, times[at] > 1
-
-
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the kept words joined by a space, UTF-8 bytes) and its kept_sha256."""
     block = (window + 1) // 2
@@ -92,17 +86,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     chunks = chunked(docs)
     probed = exchanged(chunks, "probe", lambda c, _: probes(Windows(c), block)[0], ranges=ranges)
 
-    def compare(c: Chunk, got: dict[str, bytes]) -> Keys:
+    def extended(c: Chunk, reply: bytes) -> tuple[Windows, np.ndarray, Keys, np.ndarray]:
         w = Windows(c)
-        return repeated_windows(w, candidates(w, window, block, got["probe"]), window)[0]
+        start = candidates(w, window, block, reply)
+        return w, start, *distinct(*wide_hashes(w.sums, w.down, start, window))
 
-    compared = exchanged(probed, "same", compare, ranges=ranges)
+    compared = exchanged(probed, "same", lambda c, got: extended(c, got["probe"])[2], ranges=ranges)
 
     def finish(c: Chunk, got: dict[str, bytes]) -> dict:
-        w = Windows(c)
-        start = candidates(w, window, block, got["probe"])
-        keys, at, own = repeated_windows(w, start, window)
-        again = own | (from_bits(got["same"], len(keys.key))[at] > 0 if len(keys.key) else own)
+        w, start, keys, at = extended(c, got["probe"])
+        again = from_reply(got["same"], len(keys.key), 1).astype(bool)[at]
         flags = np.zeros(len(w.end), bool)
         flags[start[again]] = True
         gone = covered(flags, window)

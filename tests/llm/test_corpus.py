@@ -67,20 +67,27 @@ def test_repeated_bytes(docs, rows, empty):
     for r, d, g in zip(rows, data, covers(data, 200), strict=True):
         spans = len([x for x in bytes(g).split(b"\0") if x])
         want[r[0], len(d), sum(g), spans, hashlib.sha256(bytes(x for x, y in zip(d, g, strict=True) if not y)).hexdigest()] += 1
-    out = byte_suffixes.remove_repeats(docs, carry=("lang",))
+    out = byte_suffixes.remove_repeats(docs, carry=("lang", "n_chars", "part", "text"))
     assert Counter(map(tuple, out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == want
     assert byte_suffixes.remove_repeats(empty).count() == 0
 
 
-def test_merged_prefixes():
-    rng = np.random.default_rng(2)
+def test_merged_transforms_state_every_interval():
+    rng, depth = np.random.default_rng(2), byte_suffixes.DEPTH
     shards = []
-    for _ in range(4):
-        rows = np.unique(rng.integers(0, 4, (30, 3)), axis=0)
-        shards.append(exchange.Keys(rows[:, 0].astype(np.uint64), rows[:, 1:].astype(np.uint32)))
-    every = [(i, (int(k), *map(int, m))) for i, s in enumerate(shards) for k, m in zip(s.key, s.more, strict=True)]
-    common = lambda a, b: next((j for j in range(3) if a[j] != b[j]), 3)
-    want = [max(common(a, b) for n, (_, b) in enumerate(every) if n != at) for at, (_, a) in enumerate(every)]
+    for _ in range(5):
+        rows = rng.integers(0, 3, (40, depth + 2)) if len(shards) % 2 else rng.integers(0, 2, (25, depth + 2)) * 7
+        shards.append(exchange.distinct(rows[:, 0].astype(np.uint64), rows[:, 1:].astype(np.uint32))[0])
+    every = [(int(k), *map(int, m), 1 + int(x)) for s in shards for k, m, x in zip(s.key, s.more, s.several, strict=True)]
+    want = []
+    for a in every:
+        state = 0
+        for d in range(1, depth + 1):
+            same = [b for b in every if b[:d] == a[:d]]
+            if sum(b[-1] for b in same) > 1:
+                after = len({b[d] for b in same}) == 1
+                state |= (3 if after and len({b[-2] for b in same}) == 1 else 2 if after else 1) << 2 * (d - 1)
+        want.append(state)
     assert np.concatenate(byte_suffixes.merged(shards)).tolist() == want
 
 
@@ -89,8 +96,43 @@ def test_key_coding():
     for top in (1 << 8, 1 << 40, (1 << 64) - 1):
         key = np.unique(rng.integers(0, top, 500, dtype=np.uint64))
         assert (exchange.decoded(exchange.coded(key, 0), len(key), 0) == key).all()
-    bits = rng.integers(0, 4, 77).astype(np.uint8)
-    assert (exchange.from_bits(exchange.two_bits(bits), 77) == bits).all()
+    for bits in (1, 8):
+        values = rng.integers(0, 1 << bits, 77).astype(np.uint8)
+        assert (exchange.from_reply(exchange.to_reply(values, bits), 77, bits) == values).all()
+
+
+def as_chunks(spark, per_task, n):
+    rows = [(((t << 24) + i) >> exchange.HOME, (t << 24) + i, [t * 100 + i], [1], b"x", []) for t in range(n // per_task) for i in range(per_task)]
+    return spark.createDataFrame(rows, exchange.CHUNK_SCHEMA).repartition(4)
+
+
+def test_exchange_levels(spark):
+    keys = {}
+    rng = np.random.default_rng(13)
+    for t in range(12):
+        for i in range(3):
+            k = rng.integers(0, 40, 30).astype(np.uint64) * np.uint64(0x5555555555555555 // 13)
+            more = rng.integers(0, 2, (30, 1)).astype(np.uint32)
+            got, _ = exchange.distinct(k, more)
+            keys[(t << 24) + i] = got._replace(asked=rng.integers(0, 2, len(got.key)).astype(bool))
+    times = Counter()
+    for k in keys.values():
+        for a, m, s in zip(k.key.tolist(), k.more[:, 0].tolist(), k.several.tolist(), strict=True):
+            times[a, m] += 1 + s
+    part = lambda c: (c.ids[0] // 100 << 24) + c.ids[0] % 100
+    for ranges, fan in ((5, 256), (16, 4), (30, 3)):  # one, two and four levels
+        out = exchange.exchanged(as_chunks(spark, 3, 36), "got", lambda c, _: keys[part(c)], ranges=ranges, fan=fan).select("part", "got").collect()
+        assert len(out) == 36
+        for r in out:
+            k = keys[r["part"]]
+            want = [times[a, m] > 1 for a, m, q in zip(k.key.tolist(), k.more[:, 0].tolist(), k.asked.tolist(), strict=True) if q]
+            assert exchange.from_reply(bytes(r["got"]), len(want), 1).astype(bool).tolist() == want
+
+
+def test_rows_of_a_sender_are_bounded():
+    key = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 50_000, dtype=np.uint64) * np.uint64(2))
+    assert all(len(exchange.rows_of(exchange.Keys(key), 0, (1, 0), n)) == min(n, exchange.FAN) for n in (17, 81, exchange.FAN))
+    assert exchange.buckets(1 << 40) < 100_000
 
 
 def brute_fingerprint(text):
