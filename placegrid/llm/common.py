@@ -138,10 +138,22 @@ def extended(df: DataFrame, fn: Callable[[list], dict], schema: str, column: str
     return df.mapInArrow(run, whole)
 
 
-def salted_join(rows: DataFrame, small: DataFrame, key: str, salt_of: str, how: str = "left", salts: int = 16) -> DataFrame:
-    """Join where ``rows`` may hold a hot key: ``small`` (one row a key) is repeated for each salt of ``rows``."""
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+#: A key with more rows than this, and with more than a thousandth of all, is heavy; so at most a thousand are.
+HEAVY = 20_000
+
+
+def salted_join(rows: DataFrame, small: DataFrame, key: str, salt_of: str, how: str = "left", heavy: int = HEAVY) -> DataFrame:
+    """Join where ``rows`` may hold hot keys. ``small`` is a written table with one row a key and ``n``, its rows in ``rows``.
+
+    Only the rows of heavy keys are dealt over salts, and only their counterparts are repeated; ``n`` is not returned.
+    """
+    total = small.agg(F.sum("n")).first()[0] or 0
+    hot = {r[key]: -(-r["n"] // heavy) for r in small.where(F.col("n") > max(heavy, total // 1000)).select(key, "n").collect()}  # at most 1000
+    if not hot:
+        return rows.join(small.drop("n"), key, how)
+    salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv]), F.col(key)), F.lit(1))
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_of), salts).cast("int"))
+    right = small.drop("n").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

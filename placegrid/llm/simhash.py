@@ -9,8 +9,9 @@ fingerprints within ``radius`` bits agree on ``equal`` of ``radius + equal`` blo
 to one shard per choice of ``equal`` blocks. Each shard holds a BK-tree (children keyed by their integer Hamming
 distance to the parent) which its members search, following only the edges within the radius. A tree over all
 fingerprints would grow with the corpus, so none is broadcast; the trees stay in the tasks that own their shards.
-``equal`` grows with the number of fingerprints and holds the mean shard under a constant. Shards report spanning
-stars, not pairs, and a label propagation with pointer jumping joins the stars.
+``equal`` grows with the number of fingerprints and holds the mean shard under a constant; a shard of more than ``HOT``
+members is split by the same principle on its other bits. Shards report spanning stars, not pairs, and a label
+propagation with pointer jumping joins the stars.
 
 Nulls and edges: a null or blank text has fingerprint zero and links like any other; a null doc_id is kept, but cannot
 name a component (a component of null ids only is null); repeated rows are each returned; an empty table gives no rows;
@@ -25,14 +26,16 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placegrid.llm.common import mapped, partitions, salted_join, texts, tune, written
+from placegrid.llm.common import discard, mapped, partitions, salted_join, texts, tune, written
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 #: Mean members of a shard above which one more block must agree.
 SHARD = 64
+#: Members above which a single shard is split.
+HOT = 20_000
 #: Frontier entries of the tree search held at once.
 FRONTIER = 1 << 20
 
@@ -106,25 +109,31 @@ def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             label = new
 
 
-def shard_links(fps: np.ndarray, root: np.ndarray, radius: int) -> np.ndarray:
-    """For each member the least index of its component within its shard, found by searching the shard's BK-tree."""
-    child, label = bk_forest(fps, root), np.arange(len(fps))
+def tree_hits(fps: np.ndarray, child: np.ndarray, q: np.ndarray, root: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (query, node) within ``radius`` bits, found by following only the edges within it from the queries' roots."""
     steps = np.arange(-radius, radius + 1)
-    todo = [(np.arange(len(fps)), root)]
+    todo = [(q, root)]
     while todo:
         q, node = todo.pop()
-        if len(q) > FRONTIER // 9:
+        if len(q) > FRONTIER // len(steps):
             half = len(q) // 2
             todo += [(q[:half], node[:half]), (q[half:], node[half:])]
             continue
         d = np.bitwise_count(fps[q] ^ fps[node]).astype(np.int64)
         hit = d <= radius
-        label = joined(label, q[hit], node[hit])
+        yield q[hit], node[hit]
         edges = d[:, None] + steps
         nxt = np.where((edges >= 1) & (edges <= 64), child[node[:, None], np.clip(edges, 0, 64)], -1)
         row, col = np.nonzero(nxt >= 0)
         if len(row):
             todo.append((q[row], nxt[row, col]))
+
+
+def shard_links(fps: np.ndarray, root: np.ndarray, radius: int) -> np.ndarray:
+    """For each member the least index of its component within its shard, found by searching the shard's BK-tree."""
+    label = np.arange(len(fps))
+    for a, b in tree_hits(fps, bk_forest(fps, root), np.arange(len(fps)), root, radius):
+        label = joined(label, a, b)
     return label
 
 
@@ -135,18 +144,42 @@ def block_keys(equal: int, radius: int) -> list[list[tuple[int, int]]]:
     return [[(cuts[i], cuts[i + 1] - cuts[i]) for i in c] for c in combinations(range(n), equal)]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
+def other_blocks(parts: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+    """The bits outside ``parts`` in ``n`` blocks, each as (shift, width) parts."""
+    used = {b for shift, width in parts for b in range(shift, shift + width)}
+    free = [b for b in range(64) if b not in used]
+    blocks = [free[len(free) * i // n : len(free) * (i + 1) // n] for i in range(n)]
+    return [[(b, 1 + next((k for k in range(len(bits) - i) if i + k + 1 == len(bits) or bits[i + k + 1] != b + k + 1), 0)) for i, b in enumerate(bits) if not i or bits[i - 1] != b - 1] for bits in blocks]
+
+
+def key_of(number: int, parts: list[tuple[int, int]]) -> Column:
+    key = F.lit(number).cast("long")
+    for shift, width in parts:
+        key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
+    return key
+
+
+def sharded(nodes: DataFrame, radius: int, equal: int, hot: int = HOT) -> DataFrame:
+    """fp, key: the shards of every fingerprint. Members of a hot shard share some of their other bits' blocks, too."""
+    choices = block_keys(equal, radius)
+    rows = nodes.select("fp", F.posexplode(F.array(*[key_of(i, parts) for i, parts in enumerate(choices)])).alias("choice", "key"))
+    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot))
+    if sizes.isEmpty():
+        return rows.select("fp", "key")
+    split = F.lit(None).cast("array<long>")
+    for i, parts in enumerate(choices):
+        finer = [F.xxhash64("key", F.lit(j), key_of(0, p)) for j, p in enumerate(other_blocks(parts, radius + 1))]
+        split = F.when(F.col("choice") == i, F.array(*finer)).otherwise(split)
+    rows = rows.join(sizes, "key", "left")
+    return rows.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("key"))
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints ``fp`` within ``radius`` bits, found shard by shard."""
     n, equal = nodes.count(), 1
-    while n >> (64 * equal // (radius + equal)) > SHARD and equal < 4:
+    while n >> (64 * equal // (radius + equal)) > SHARD and equal < 6:
         equal += 1
-    keys = []
-    for i, parts in enumerate(block_keys(equal, radius)):
-        key = F.lit(i).cast("long")
-        for shift, width in parts:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
-    shards = nodes.select("fp", F.explode(F.array(*keys)).alias("key"))
+    shards = sharded(nodes, radius, equal, hot)
     shards = shards.repartition(partitions(shards), "key").sortWithinPartitions("key", "fp")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,38 +216,43 @@ def components(edges: DataFrame) -> DataFrame:
     logarithmic in the diameter for the stars that shards report. Each round is written to the shared folder.
     """
     both = written(edges.select("a", "b").union(edges.select("b", "a")))
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
+    old = labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        low = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
-        low = written(low)
+        low = written(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
         up = low.select(F.col("node").alias("low"), F.col("low").alias("up"))
         new = written(low.join(up, "low", "left").select("node", "label", F.least("low", "up").alias("new")))
         moved = new.where("new <> label").limit(1).count()
-        labels = new.select("node", F.col("new").alias("label"))
+        discard(old, low)
+        old, labels = new, new.select("node", F.col("new").alias("label"))
         if not moved:
+            discard(both)
             return labels
 
 
-def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+def simhash_components(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """doc_id, fp, component_id (least doc_id reachable over links of ``radius`` bits or fewer) of every document."""
     tune(docs.sparkSession)
     fps = written(fingerprints(docs, shingle))
-    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = components(links(nodes.select("fp"), radius))
-    member = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("label", "fp").alias("label"))
+    nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    labels = components(links(nodes.select("fp"), radius, hot))
+    member = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", "n", F.coalesce("label", "fp").alias("label"))
     member = written(member)
-    least = member.groupBy("label").agg(F.min("rep").alias("component_id"))
-    member = written(member.join(least, "label").select("fp", "component_id"))
-    return salted_join(fps, member, "fp", "doc_id", "inner")
+    least = written(member.groupBy("label").agg(F.min("rep").alias("component_id")))  # written, so that a hot label's join can be split
+    named = written(member.join(least, "label").select("fp", "n", "component_id"))
+    discard(nodes, member, least)
+    return salted_join(fps, named, "fp", "doc_id", "inner")
 
 
 def once(docs: DataFrame, least: DataFrame) -> DataFrame:
     """The documents whose doc_id is in ``least``, once each, and all without an id."""
-    stay = docs.join(least, "doc_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))).alias("_nth")
-    kept = stay.select("*", first).where("_nth = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, none clashes
+    id_, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = docs.toDF(*names)
+    stay = rows.join(least.select(F.col("doc_id").alias(id_)), id_, "left_semi")
+    first = F.row_number().over(Window.partitionBy(id_).orderBy(F.xxhash64(text))).alias("nth")
+    kept = stay.select("*", first).where("nth = 1").select(*names)
+    return kept.unionByName(rows.where(F.col(id_).isNull())).toDF(*docs.columns)
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

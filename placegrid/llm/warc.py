@@ -54,7 +54,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     """One WARC record: a response with its payload, or a revisit with HTTP headers only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
-    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{i}:{digest}')}>"
+    name = lambda i: f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{i}:{digest}') if i is not None else uuid.uuid4()}>"
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(page_id), "WARC-Date": DATE,
         "WARC-Target-URI": "".join(c if c > " " else f"%{ord(c):02X}" for c in url or ""), "WARC-Payload-Digest": f"sha1:{digest}",
@@ -127,7 +127,7 @@ def write_archives(pages: DataFrame, base: str, least: int = LEAST) -> DataFrame
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     several = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-    marked = salted_join(rows, several.where("n > 1").select("digest", "keeper"), "digest", "page_id")
+    marked = salted_join(rows, written(several.where("n > 1")), "digest", "page_id")
     refers = F.when(~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper")).alias("refers_to")
     schema = arrow(CAPTURES)
 

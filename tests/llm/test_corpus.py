@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from placegrid.llm import byte_suffixes, exchange, fingerprints, packing, pieces, quality_classifier, quality_rules, simhash, toxicity, warc, word_blocks
+from placegrid.llm import byte_suffixes, common, exchange, fingerprints, packing, pieces, quality_classifier, quality_rules, simhash, toxicity, warc, word_blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, key string"
 
@@ -157,8 +157,9 @@ def test_simhash(docs, rows, empty):
         if r[0] is not None:
             least[c] = min(least.get(c, r[0]), r[0])
     want = Counter((r[0], f, least.get(c)) for r, f, c in zip(rows, fps, label, strict=True))
-    got = simhash.simhash_components(docs).collect()
-    assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
+    for hot in (simhash.HOT, 3):  # with 3 nearly every shard is split
+        got = simhash.simhash_components(docs, hot=hot).collect()
+        assert Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in got) == want
     assert simhash.simhash_components(empty).count() == 0
 
 
@@ -178,6 +179,21 @@ def test_bk_trees_find_all_links():
         assert len(simhash.block_keys(equal, 4)) == [5, 15, 35, 70][equal - 1]
 
 
+def test_split_shards_cover_all_bits():
+    for parts in simhash.block_keys(2, 4):
+        bits = [b for block in simhash.other_blocks(parts, 5) for shift, width in block for b in range(shift, shift + width)]
+        assert sorted(bits + [b for s, w in parts for b in range(s, s + w)]) == list(range(64))
+
+
+def test_only_heavy_keys_are_salted(spark):
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i) for i in range(300)] + [(None, 7)], "id long, k long")
+    small = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m")).where("k <> 9").cache()
+    got = common.salted_join(rows, small, "k", "id", heavy=20)
+    want = rows.join(small.drop("n"), "k", "left")
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, got.select("id", "k", "m").collect()), key=key) == sorted(map(tuple, want.select("id", "k", "m").collect()), key=key)
+
+
 def test_one_document_of_each_group(docs):
     ids = [r["doc_id"] for r in simhash.one_of_each(docs).collect()]
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and ids.count(None) == 2
