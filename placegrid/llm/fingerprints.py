@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from placegrid.llm.common import mix, partitions, texts, tune
 
 SAMPLES = 64
 #: Ranges of ids at most; they are streamed in order, so their size does not matter for memory.
-PARTS = 4096
+PARTS = 1 << 16
 #: Terms whose draws are made at once.
 BLOCK = 4096
 
@@ -77,6 +78,29 @@ def signatures(found: list[tuple[np.ndarray, np.ndarray]], samples: int = SAMPLE
     return out
 
 
+def placed(cuts: np.ndarray, heads: list[tuple[int, int | None]]) -> Callable[[Column], Column]:
+    """struct(part, before): an id's range, and the range before it if the id is its range's first one.
+
+    ``heads``: (part, first id) of the ranges that have rows, in order.
+    """
+    parts = np.array([p for p, _ in heads], np.int64)
+    firsts = np.array([0 if i is None else i for _, i in heads], np.int64)
+    null = bool(heads) and heads[0][1] is None
+
+    @F.pandas_udf("part int, before int")
+    def place(ids: pd.Series) -> pd.DataFrame:
+        known = ids.notna().to_numpy()
+        value = ids.fillna(0).to_numpy(np.int64)
+        part = np.where(known, np.searchsorted(cuts, value), 0)
+        at = np.minimum(np.searchsorted(parts, part), max(len(parts) - 1, 0))
+        first = (np.where(known, firsts[at] == value, False) & ~(null & (at == 0)) | (~known & null)) if len(parts) else np.zeros(len(value), bool)
+        before = pd.array(parts[at - 1] if len(parts) else value, dtype="Int32")
+        before[~first] = pd.NA
+        return pd.DataFrame({"part": part.astype(np.int32), "before": before})
+
+    return place
+
+
 def following(docs: DataFrame, parts: int) -> DataFrame:
     """doc_id, text, next text in the order of doc_id (after the last: the first), without a global sort in one task.
 
@@ -84,19 +108,14 @@ def following(docs: DataFrame, parts: int) -> DataFrame:
     before it (the very first to the last), so neighbours meet in one task. Ranges are streamed in order.
     """
     rows = texts(docs).withColumn("text", F.coalesce("text", F.lit(b"")))
-    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10000).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))  # at most ``parts`` numbers
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(_rank(cuts)).cast("int")
+    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], max(10000, 4 * parts)).alias("c")).first()["c"] if parts > 1 else []
+    cuts = np.array(sorted(set(cuts or [])), np.int64)  # at most ``parts`` numbers
+    part = placed(cuts, [])(F.col("doc_id"))["part"]
     heads = docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("head")).orderBy("part").collect()
-    held = [r["part"] for r in heads]  # the parts that have rows, in order
-    first, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
-    for i, r in enumerate(heads):
-        first[r["part"]], before[r["part"]] = r["head"]["doc_id"], held[i - 1]
-    lookup = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("part"))
-    both = rows.withColumn("part", part).withColumn("before", F.when(lookup(first, "long").eqNullSafe(F.col("doc_id")), lookup(before, "int")))
-    sent = F.array_compact(F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("part"), F.lit(True).alias("guest")))))
+    both = rows.withColumn("to", placed(cuts, [(r["part"], r["head"]["doc_id"]) for r in heads])(F.col("doc_id")))
+    sent = F.array_compact(F.array(F.struct(F.col("to.part").alias("part"), F.lit(False).alias("guest")), F.when(F.col("to.before").isNotNull(), F.struct(F.col("to.before").alias("part"), F.lit(True).alias("guest")))))
     both = both.select("doc_id", "text", F.explode(sent).alias("to")).select("doc_id", "text", "to.part", "to.guest")
-    ordered = both.repartition(max(len(held), 1), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
+    ordered = both.repartition(max(len(heads), 1), "part").sortWithinPartitions("part", "guest", F.col("doc_id").asc_nulls_first(), "text")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict | None = None
@@ -115,18 +134,6 @@ def following(docs: DataFrame, parts: int) -> DataFrame:
     return ordered.mapInArrow(pair, "doc_id long, text binary, next binary")
 
 
-def _rank(cuts: list[int]) -> Column:
-    """The number of cuts below doc_id, by halving: a balanced tree of comparisons."""
-
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > cuts[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return tree(0, len(cuts))
-
-
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 

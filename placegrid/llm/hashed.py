@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.llm.common import mix, written
+from placegrid.llm.common import discard, mix, written
 
 #: Words remembered by a Python worker before it starts afresh.
 CACHE = 100_000
@@ -41,28 +41,47 @@ def stems(word: bytes, buckets: int) -> list[int]:
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int) -> pd.DataFrame:
     """(text, label) of at most ``rows`` labelled documents and ``size`` bytes of text, in an order by hash.
 
-    The bound holds what the driver trains on, whatever the corpus; nulls are left out, and of several labels of a
-    document the least counts. Only labels of documents that are there take places, and a text that does not fit into
-    what is left of ``size`` is passed over for those after it.
+    The bound holds what the driver trains on, whatever the corpus; nulls are left out, of several labels of a document
+    the least counts, and of several texts the shortest. Only labels of documents that are there take places, and a text
+    that does not fit into what is left of ``size`` is passed over for those after it. Rows are reduced to one a
+    document on the cluster. If the first ``rows`` labelled documents fit, which is the rule, texts are read once.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    sizes = docs.where("text is not null").select("doc_id", F.octet_length("text").alias("bytes"))
-    there = known.join(sizes, "doc_id").groupBy("doc_id", "label").agg(F.max("bytes").alias("bytes"))
-    there = written(there.select("doc_id", "label", "bytes", F.xxhash64("doc_id", F.lit(7)).alias("rank")))
-    ids, left, more = [], size, there.where(F.col("bytes") <= size)
-    while rows > len(ids):
-        asked = rows - len(ids)
-        some = more.orderBy("rank", "doc_id").limit(asked).toPandas()
-        for r in some.itertuples(index=False):
+    there = written(known.join(docs.select("doc_id"), "doc_id", "left_semi").withColumn("rank", F.xxhash64("doc_id", F.lit(7))))
+    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
+
+    def fetched(few: DataFrame) -> DataFrame:
+        """The texts of at most ``rows`` documents."""
+        least = F.min(F.struct(F.octet_length("text").alias("bytes"), "text"))
+        return written(texts.join(F.broadcast(few), "doc_id").groupBy("doc_id", "label", "rank").agg(least.alias("t")).select("doc_id", "label", "rank", "t.*"))
+
+    def taken(sizes: pd.DataFrame, left: int) -> tuple[list[tuple[int, int, int]], int]:
+        ids = []
+        for r in sizes.itertuples(index=False):
             if r.bytes <= left:
                 left -= r.bytes
                 ids.append((int(r.doc_id), int(r.label), int(r.rank)))
-        if len(some) < asked:
-            break
-        last = some.iloc[-1]
-        after = F.struct("rank", "doc_id") > F.struct(F.lit(int(last["rank"])).alias("rank"), F.lit(int(last["doc_id"])).alias("doc_id"))
-        more = there.where(after & (F.col("bytes") <= int(left)))
-    few = docs.sparkSession.createDataFrame(pd.DataFrame(ids, columns=["doc_id", "label", "rank"]), "doc_id long, label int, rank long")
-    got = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null").join(F.broadcast(few), "doc_id").toPandas()
-    got["bytes"] = got["text"].map(len)
-    return got.sort_values(["rank", "doc_id", "bytes"]).drop_duplicates("doc_id")[["doc_id", "text", "label"]].reset_index(drop=True)
+        return ids, left
+
+    first = fetched(there.orderBy("rank", "doc_id").limit(rows))
+    ids, left = taken(first.select("doc_id", "label", "rank", "bytes").toPandas().sort_values(["rank", "doc_id"]), size)
+    if len(ids) < rows and there.count() > rows:  # some did not fit or have no text: sizes of all decide
+        sizes = texts.groupBy("doc_id").agg(F.min(F.octet_length("text")).alias("bytes"))
+        sized = written(there.join(sizes, "doc_id"))
+        ids, left, more = [], size, sized.where(F.col("bytes") <= size)
+        while rows > len(ids):
+            asked = rows - len(ids)
+            some = more.orderBy("rank", "doc_id").limit(asked).toPandas()
+            got, left = taken(some, left)
+            ids += got
+            if len(some) < asked:
+                break
+            last = some.iloc[-1]
+            after = F.struct("rank", "doc_id") > F.struct(F.lit(int(last["rank"])).alias("rank"), F.lit(int(last["doc_id"])).alias("doc_id"))
+            more = sized.where(after & (F.col("bytes") <= int(left)))
+        discard(first, sized)
+        first = fetched(docs.sparkSession.createDataFrame(pd.DataFrame(ids, columns=["doc_id", "label", "rank"]), "doc_id long, label int, rank long"))
+    chosen = {i for i, _, _ in ids}
+    got = first.where(F.col("bytes") <= size).toPandas().sort_values(["rank", "doc_id"])
+    discard(first, there)
+    return got[got["doc_id"].isin(chosen)][["doc_id", "text", "label"]].reset_index(drop=True)

@@ -4,8 +4,8 @@ Tokenised documents are cut into pieces of at most ``size`` tokens. A packing de
 number of pieces of each length, at most ``size`` counts, so the plan is made from that histogram on the driver:
 lengths go from long to short; the gap that a piece leaves is looked up in an index of single, pair and triple length
 sums and combinations that fill it exactly are consumed as long as all their members are available; what has no exact
-complement is filled by best fit (the largest available length that fits, again and again). The plan is a list of
-(lengths, copies). Pieces are then numbered within their length in a distributed way and looked up in the plan, so any
+complement is filled by best fit (the largest sum of one or two available lengths that fits, again and again). The plan
+is a list of (lengths, copies). Pieces are then numbered within their length in a distributed way and looked up in the plan, so any
 number of equal lengths spreads over all tasks.
 
 Tokenising: the given tokenizer lower-cases and never joins text across white space (which its splitter drops), nor a
@@ -37,18 +37,14 @@ STOP = re.compile(rb"(?<=[a-z])([.,]+)(?=\s|$)")
 
 def planned(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, copies) for counts[length] pieces of each length up to ``size``."""
-    left = counts.astype(np.int64).copy()
-    left[0] = 0
-    pair_at = np.zeros(size + 1, np.int64)  # by sum: the next smaller member to try; counts only fall, so it only moves on
-    pair_at[:] = 1
-    triple_at = np.ones(size + 1, np.int64)
+    left = [0, *counts[1:].tolist()]
+    pair_at, triple_at = [1] * (size + 1), [1] * (size + 1)  # by sum: the first member that may still serve; counts only fall, so it only moves on
     plan: list[tuple[tuple[int, ...], int]] = []
 
     def enough(parts: tuple[int, ...]) -> int:
-        need: dict[int, int] = defaultdict(int)
-        for p in parts:
-            need[p] += 1
-        return min(int(left[p]) // n for p, n in need.items())
+        if len(parts) == len(set(parts)):
+            return min(left[p] for p in parts)
+        return min(left[p] // parts.count(p) for p in parts)
 
     def take(parts: tuple[int, ...]) -> None:
         n = enough(parts)
@@ -56,51 +52,44 @@ def planned(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
         for p in parts:
             left[p] -= n
 
-    def pair(total: int) -> tuple[int, int] | None:
-        a = int(pair_at[total])
-        while a <= total // 2:
-            if enough((a, total - a)):
-                pair_at[total] = a
-                return total - a, a
+    def single(total: int, also: tuple[int, ...]) -> tuple[int, ...] | None:
+        return (total,) if left[total] and enough((*also, total)) else None
+
+    def pair(total: int, also: tuple[int, ...]) -> tuple[int, ...] | None:
+        a = pair_at[total]
+        while 2 * a <= total and not (left[a] and left[total - a]):
             a += 1
         pair_at[total] = a
+        while 2 * a <= total:
+            if left[a] and left[total - a] and enough((*also, total - a, a)):
+                return total - a, a
+            a += 1
         return None
 
-    def triple(total: int) -> tuple[int, int, int] | None:
-        a = int(triple_at[total])
-        while 3 * a <= total:
-            if left[a] and (two := pair(total - a)) and enough((*two, a)):
-                triple_at[total] = a
-                return (*two, a)
+    def triple(total: int, also: tuple[int, ...]) -> tuple[int, ...] | None:
+        a = triple_at[total]
+        while 3 * a <= total and not left[a]:
             a += 1
         triple_at[total] = a
+        while 3 * a <= total:
+            if left[a] and (two := pair(total - a, (*also, a))):
+                return *two, a
+            a += 1
         return None
 
+    def fitting(gap: int, also: tuple[int, ...]) -> tuple[int, ...]:
+        """The largest sum of one or two available lengths that fits, again and again."""
+        for total in range(gap, 0, -1):
+            if parts := single(total, also) or pair(total, also):
+                return *parts, *(fitting(gap - total, (*also, *parts)) if total < gap else ())
+        return ()
+
     for length in range(size, 0, -1):
         while left[length]:
-            gap = size - length
-            if not gap:
-                take((length,))
-                continue
-            for fill in ((gap,), pair, triple):
-                parts = fill if isinstance(fill, tuple) else fill(gap)
-                if parts and enough((length, *parts)):
-                    take((length, *parts))
-                    break
-            else:
-                parts, rest = [length], gap
-                left[length] -= 1  # one copy is set apart while its filling is chosen
-                while rest:
-                    fit = np.flatnonzero(left[1 : rest + 1])
-                    if not len(fit):
-                        break
-                    best = int(fit[-1]) + 1
-                    parts.append(best)
-                    left[best] -= 1
-                    rest -= best
-                for p in parts:
-                    left[p] += 1
-                take(tuple(parts))
+            gap, own = size - length, (length,)
+            if gap:
+                own += single(gap, own) or pair(gap, own) or triple(gap, own) or fitting(gap, own)
+            take(own)
     return plan
 
 
@@ -218,7 +207,8 @@ def packed(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
         counts[r["length"]] = r["n"]
     key, sequence, offset = slots(planned(counts, size))
-    rows = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("nth") + F.col("first")).drop("first")
+    rows = pieces.join(before.hint("merge"), ["length", "part"])  # grows with the tasks, so it is not broadcast
+    rows = rows.withColumn("rank", F.col("nth") + F.col("first")).drop("first")
     names = [c for c in rows.columns if c not in ("part", "nth", "rank")]
 
     def place(batches):

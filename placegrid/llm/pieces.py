@@ -10,7 +10,8 @@ the unknown penalty and becomes its byte pieces.
 For unigram models this gives the highest sum of piece scores, as the library does. Where a model's type is BPE (such as
 piece_bpe_32k.model), the highest sum is not what the library returns, so there the same batches and the same hash probes
 replay the merges: all words of a batch merge their best adjacent pair at a time (leftmost among equals), which leaves
-them with equally many parts, until nothing merges.
+them with equally many parts, until nothing merges. A unit of more than ``LONG`` characters takes its merges from a heap
+instead, where only the pairs beside a merge are looked up again, so its time grows like n log n.
 
 Nulls and edges: a null or empty text has no ids; repeated rows encode alike; a text that holds U+2581 itself decodes to
 spaces there (round_trip is then false); an empty table gives no rows; extra columns are ignored.
@@ -19,6 +20,7 @@ spaces there (round_trip is then false); an empty table gives no rows; extra col
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,6 +38,8 @@ UNIT = re.compile(r"\n| *[^ \n]+| +")
 PENALTY = 10.0
 #: Units of one length that advance together.
 ROWS = 4096
+#: Characters above which a unit is merged by itself.
+LONG = 100
 
 
 def model_type(path: str) -> int:
@@ -92,6 +96,7 @@ class Viterbi:
         if (self.key[1:] == self.key[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.text = [bytes([int(names[i][3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else names[i].replace(SPACE, " ").encode() for i in range(n)]
+        self.pieces = dict(zip((names[i] for i in normal), zip((-score).tolist(), normal, strict=True), strict=True))
         self.known: dict[str, bytes] = {}
         self.split = self.merge if model_type(path) == 2 else self.segment
 
@@ -147,6 +152,8 @@ class Viterbi:
 
     def merge(self, units: list[str]) -> list[list[int]]:
         """Ids of units of equal length, by merging the pair of the best piece again and again."""
+        if len(units[0]) > LONG:
+            return list(map(self.merge_one, units))
         points = self.points(units)
         n, size = points.shape
         _, sums = self.hashed(points)
@@ -173,6 +180,30 @@ class Viterbi:
         close(live, cuts)
         return done
 
+    def merge_one(self, unit: str) -> list[int]:
+        """Ids of one unit: the best pair (leftmost among equals) comes from a heap."""
+        n, pieces, longest = len(unit), self.pieces, self.longest
+        stop, before, gone = list(range(1, n + 1)), list(range(-1, n)), bytearray(n)
+        heap = [(got[0], i, i + 2) for i in range(n - 1) if (got := pieces.get(unit[i : i + 2]))]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            middle = stop[i]
+            if gone[i] or middle >= n or stop[middle] != end:
+                continue  # one of its parts has been merged since
+            stop[i], gone[middle], before[end] = end, 1, i
+            left = before[i]
+            if left >= 0 and end - left <= longest and (got := pieces.get(unit[left:end])):
+                heapq.heappush(heap, (got[0], left, end))
+            if end < n and stop[end] - i <= longest and (got := pieces.get(unit[i : stop[end]])):
+                heapq.heappush(heap, (got[0], i, stop[end]))
+        ids, i = [], 0
+        while i < n:
+            part = unit[i : stop[i]]
+            ids += [pieces[part][1]] if part in pieces else self.fallback(part)
+            i = stop[i]
+        return ids
+
     def fallback(self, character: str) -> list[int]:
         data = character.encode("utf-8", "replace")
         return [self.bytes[b] for b in data] if self.bytes else [self.unknown]

@@ -5,7 +5,8 @@ and ``SIZE`` bytes of whole texts, in an order by hash). As the score is linear
 folds into one number at scoring, and so does a word, so each executor only needs a table of ``BUCKETS`` floats.
 
 Nulls and edges: a null or blank text scores the bias alone; a null doc_id is scored, never learned from; repeated
-rows score alike; without labels of both classes every score is the prior; extra columns are ignored.
+rows score alike; without labels of both classes every score is the prior; further columns are ignored, and pass through
+``kept_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from placegrid.llm.hashed import CACHE, sample, subwords
 
 BUCKETS, DIM = 1 << 17, 6
 ROWS, SIZE = 3000, 24 << 20
+#: Steps of the gradient descent at least, so that few labels train as far as many.
+STEPS = 1000
 
 
 def held_out() -> Column:
@@ -61,7 +64,9 @@ def train(data: pd.DataFrame, epochs: int = 5, rate: float = 2.0, batch: int = 1
     if len(set(y.tolist())) < 2:
         return np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior)))
     bias[:] = 0, np.log(prior / (1 - prior))
-    steps, done = epochs * -(-len(docs) // batch), 0
+    each = -(-len(docs) // batch)
+    epochs = max(epochs, -(-STEPS // each))
+    steps, done = epochs * each, 0
     for _ in range(epochs):
         order = rng.permutation(len(docs))
         for at in range(0, len(order), batch):
@@ -125,4 +130,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame, least: float = 0.3, rows:
     tune(docs.sparkSession)
     data = sample(docs, labels.where(~held_out()), "quality", rows, size)
     data["label"] = data["label"].clip(0, 1)
-    return extended(docs, scorer(*train(data)), "score double").where(F.col("score") >= least).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, none clashes
+    rows_ = extended(docs.toDF(*names), scorer(*train(data)), "score double", names[docs.columns.index("text")])
+    return rows_.where(F.col("score") >= least).select(*names).toDF(*docs.columns)

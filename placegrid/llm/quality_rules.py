@@ -19,7 +19,7 @@ Counts come from every document in one pass over the texts; what is collected is
 
 Nulls and edges: a null text has no words and fails the base rule; a null lang is a language of its own; a null or
 unlabelled doc_id is judged but does not calibrate; of several labels of a document the least quality counts; an empty
-table gives no rows; extra columns pass through ``apply`` untouched.
+table gives no rows; further columns pass through ``kept_documents``, whatever their names.
 """
 
 from __future__ import annotations
@@ -216,5 +216,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, alpha: float = 0.01, delt
         rows = [measured(t or b"") for t in texts]
         return {n: [r[i] for r in rows] for i, n in enumerate(BASE + MORE)}
 
-    rows = extended(docs, run, ", ".join(f"{n} long" for n in BASE + MORE))
-    return rows.where(~(base_failed() | rejected(cuts, langs))).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called, none clashes
+    rows = extended(docs.toDF(*names), run, ", ".join(f"{n} long" for n in BASE + MORE), names[docs.columns.index("text")])
+    rows = rows.withColumn("lang", F.col(names[docs.columns.index("lang")]))
+    return rows.where(~(base_failed() | rejected(cuts, langs))).select(*names).toDF(*docs.columns)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import time
 import zlib
 from collections import Counter
 
@@ -13,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from placegrid.llm import byte_suffixes, common, exchange, fingerprints, packing, pieces, quality_classifier, quality_rules, simhash, toxicity, warc, word_blocks
+from placegrid.llm import byte_suffixes, common, exchange, fingerprints, hashed, packing, pieces, quality_classifier, quality_rules, similar, simhash, toxicity, warc, word_blocks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, part int, key string"
 
@@ -229,6 +231,9 @@ def test_plan_uses_each_piece_once_and_packs_well():
         sequences += n
     assert (used == counts).all()
     assert sequences <= 1.01 * -(-(counts * np.arange(2049)).sum() // 2048) + 1
+    counts = np.zeros(2049, np.int64)
+    counts[[1500, 700, 650, 5]] = 500, 500, 500, 3
+    assert sum(n for _, n in packing.planned(counts, 2048)) == 875  # 500 + 250 + 125
 
 
 def test_fingerprints(docs, rows, empty):
@@ -259,6 +264,64 @@ def test_collision_rate_is_the_generalised_jaccard():
     assert abs(fingerprints.likeness(*sig) - true) < 0.04
 
 
+def scalar_sample(text, sample, samples=fingerprints.SAMPLES):
+    """One sample of a text, term by term, with draws in double precision."""
+    flow, top = (1 << 64) - 1, []
+    unit = lambda h: ((h >> 40) + 0.5) * 2.0**-24
+    seed = int(common.mix(np.array([(sample + 1) * 0x9E3779B97F4A7C15 & flow], np.uint64))[0])
+    for word, weight in Counter(text.encode().split()).items():
+        term, u = xxhash.xxh64_intdigest(word), []
+        h = int(common.mix(np.array([term ^ seed], np.uint64))[0])
+        for _ in range(5):
+            h = h * 0x5851F42D4C957F2D + 0x14057B7EF767814F & flow
+            u.append(unit(h ^ (h >> 29)))
+        r, c = -math.log(u[0] * u[1]), -math.log(u[2] * u[3])
+        t = math.floor(math.log(weight) / r + u[4])
+        mark = int(common.mix(np.array([term + t * 0x9E3779B97F4A7C15 & flow], np.uint64))[0]) >> 48
+        top.append((math.log(c) - r * (t - u[4]) - r, mark))
+    return min(top)[1] if top else 0
+
+
+def test_fingerprints_against_a_scalar_version(docs, rows):
+    got = {r["doc_id"]: r for r in fingerprints.document_fingerprints(docs).collect() if r["doc_id"] is not None}
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], (r[1] or "").encode()))
+    want, agree = {}, 0
+    for i, t, *_ in order[::4]:
+        if len(t or "") < 2000:
+            want[i] = [scalar_sample(t or "", s) for s in range(fingerprints.SAMPLES)]
+            print_ = got[i]["fingerprint"]
+            agree += sum(int(print_[4 * s : 4 * s + 4], 16) == x for s, x in enumerate(want[i]))
+    assert len(want) > 8 and agree / (len(want) * fingerprints.SAMPLES) > 0.999  # draws differ in the last bits only
+    for r in got.values():
+        own, edit = r["fingerprint"], r["edited_fingerprint"]
+        assert abs(r["near_edited"] - sum(own[k : k + 4] == edit[k : k + 4] for k in range(0, len(own), 4)) / fingerprints.SAMPLES) < 1e-12
+
+
+def test_ranges_of_ids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(int(i), f"t{i}") for i in rng.choice(10**9, 300, replace=False)] + [(None, "n1"), (None, "n2"), (5, "x"), (5, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = sorted(((a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True)))
+    for table, pairs in ((docs, want), (docs.where("doc_id is not null"), None)):
+        got = sorted((r["text"].decode(), r["next"].decode()) for r in fingerprints.following(table, 40).collect())
+        assert got == pairs if pairs else len(got) == 302
+
+
+def test_long_units_merge_like_the_library():
+    import base64
+
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    lib, own = SentencePieceProcessor(model_file=path), pieces.Viterbi(path)
+    rng = np.random.default_rng(1)
+    texts = [base64.b64encode(rng.bytes(750_000)).decode(), "ab" * 3000, "é漢a" * 100, "z" * (pieces.LONG + 1), "z" * pieces.LONG]
+    began = time.process_time()
+    got = [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)]
+    assert time.process_time() - began < 30 and got == [lib.encode(t) for t in texts]
+
+
 def test_sentencepiece(docs, rows, empty):
     from sentencepiece import SentencePieceProcessor
 
@@ -343,6 +406,36 @@ def test_toxicity_held_out(labelled):
     assert (out["expected_severity"] >= out["p_toxic"] - 1e-9).all() and out["grade"].between(0, 2).all()
 
 
+def test_scores_against_scalar_versions(labelled):
+    docs, labels = labelled
+    texts = dict(map(tuple, docs.collect()))
+    data = hashed.sample(docs, labels.where(~quality_classifier.held_out()), "quality", 500, 1 << 20)
+    folded, bias = quality_classifier.train(data)
+    for r in quality_classifier.quality_scores(docs, labels, 500, 1 << 20).collect():
+        total = count = 0.0
+        for word, n in quality_classifier.counted(texts[r["doc_id"]].encode()).items():
+            ids, _ = hashed.subwords([word], quality_classifier.BUCKETS)
+            total, count = total + n * sum(float(folded[i]) for i in ids), count + n * len(ids)
+        assert abs(r["score"] - 1 / (1 + math.exp(-(bias + total / count)))) < 1e-6
+    data = hashed.sample(docs, labels, "toxic", 500, 1 << 20)
+    found = [toxicity.features(t) for t in data["text"]]
+    w, theta = toxicity.train(found, toxicity.graded(data, found))
+    for r in toxicity.toxicity(docs, labels, 500, 1 << 20).collect():
+        z = sum(float(w[f]) for f in {f for x in texts[r["doc_id"]].encode().split() for f in hashed.stems(x, toxicity.BUCKETS)})
+        above = [1 - 1 / (1 + math.exp(-min(max(t - z, -40), 40))) for t in theta]
+        assert abs(r["expected_severity"] - sum(above)) < 1e-6 and abs(r["p_toxic"] - above[0]) < 1e-6
+        assert r["grade"] == sum(a > 0.5 for a in above)
+
+
+def test_any_column_names_pass_through(docs, labelled):
+    more = ["n_lines", "score", "nth", "_nth", "base_failed", "c0", "fp"]
+    own = labelled[0].selectExpr("doc_id", "text", "'en' as lang", *(f"doc_id + {i} as {n}" for i, n in enumerate(more)))
+    for out in (quality_rules.kept_documents(own, labelled[1]), quality_classifier.kept_documents(own, labelled[1]), simhash.one_of_each(own), similar.one_of_each(own)):
+        assert out.columns == own.columns
+        got = out.collect()
+        assert got and all(r[n] == r["doc_id"] + i for r in got for i, n in enumerate(more))
+
+
 def test_models_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_classifier.quality_scores(docs, none).count() == docs.count() == toxicity.toxicity(docs, none).count()
@@ -374,3 +467,36 @@ def test_pipeline(spark, tmp_path, labelled):
     out = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert not (set(out["doc_id"]) & {i for i in range(0, 400, 4)}) and not (set(out["doc_id"]) & set(range(1000, 1400)))
     assert len(set(out["doc_id"])) == 300
+
+
+def test_pipeline_with_nulls_repeats_and_clashes(spark, tmp_path, labelled):
+    import corpus_pipeline
+
+    docs, labels = labelled
+    rows = docs.where("doc_id < 120").selectExpr("doc_id", "text", "if(doc_id % 7 = 0, null, 'en') as lang", "cast(null as string) as source", "if(doc_id % 5 = 0, null, length(text)) as n_chars")
+    good = rows.where("doc_id = 1")
+    odd = spark.createDataFrame([(900, None, "en", "s", 1), (901, "", "en", "s", 1), (902, " \n", None, None, None), (None, None, None, None, None)], rows.schema)
+    every = rows.unionByName(rows.where("doc_id < 9")).unionByName(odd).unionByName(good.withColumn("doc_id", F.lit(None).cast("long")))
+    every = every.selectExpr("*", "1 as score", "2 as n_lines", "3 as node", "4 as part", "5 as label")
+    every.write.parquet(str(tmp_path / "a/documents.parquet"))
+    labels.write.parquet(str(tmp_path / "a/labels.parquet"))
+    ids = [r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path / "a")).collect()]
+    assert {i for i in ids if i is not None} == {i for i in range(120) if i % 4} and len(ids) == 91  # each once, and the copy without an id
+    every.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    labels.write.parquet(str(tmp_path / "b/labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_scratch_is_deleted(spark, docs):
+    import glob
+
+    before = set(common._made)
+    out = simhash.simhash_components(docs)
+    assert out.count() == docs.count()
+    common.discard(out)
+    made = [p for p in common._made if p not in before]
+    folders = [p.removeprefix("file://") for p in made]
+    assert len(made) <= 4 and all(glob.glob(f"{f}/*") for f in folders)
+    for p in made:
+        common.deleted(spark, p)
+    assert not any(glob.glob(f"{f}*") for f in folders)
