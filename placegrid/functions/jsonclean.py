@@ -7,15 +7,13 @@ center [x, y], weight and reasoning. Weights lie in [0, 2], coordinates in [0, 1
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.functions.numbers import NUMBER, clamp
+from placegrid.functions.numbers import NUMBER, clamp, fenced
 
-POINT = "center string, weight string, reasoning string"
+#: A reason keeps its JSON type, as a number is no reason.
+POINT = "center string, weight string, reasoning variant"
 
 
 def clean_initial(text: Column) -> Column:
@@ -50,20 +48,25 @@ def as_map(text: Column) -> Column:
     return F.from_json(text, "map<string,string>")
 
 
+def numbers(cells: Column, grid: int) -> Column:
+    """The grid's cells as array<double>, each looked up and parsed once; NULL where missing or not numeric."""
+    return F.transform(F.array(*[F.try_element_at(cells, F.lit(k)) for k in grid_keys(grid)]), weight)
+
+
 def verify_grid(cells: Column, grid: int = 4) -> Column:
     """All cells present, numeric and within [0, 2]; further keys are allowed."""
-    good = [F.coalesce(weight(F.try_element_at(cells, F.lit(k))).between(0, 2), F.lit(False)) for k in grid_keys(grid)]
-    return reduce(and_, good)
+    return F.forall(numbers(cells, grid), lambda w: F.coalesce(w.between(0, 2), F.lit(False)))
 
 
 def patch_grid(cells: Column, grid: int = 4) -> Column:
-    """map<string,double> of the grid's cells: missing or not numeric 1, others limited to [0, 2].
+    """map<string,string>: the grid's cells, missing or not numeric 1.0, others limited to [0, 2]; further keys as they are.
 
-    The cells are looked up by literal keys, not in a lambda, which would parse the document again for each.
+    ``cells`` should be a column of its own: an expression would be parsed again for each use.
     """
-    keys = grid_keys(grid)
-    values = [F.coalesce(clamp(weight(F.try_element_at(cells, F.lit(k))), 0, 2), F.lit(1.0)) for k in keys]
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in keys]), F.array(*values))
+    keys = F.array(*[F.lit(k) for k in grid_keys(grid)])
+    values = F.transform(numbers(cells, grid), lambda w: F.coalesce(clamp(w, 0, 2), F.lit(1.0)).cast("string"))
+    more = F.map_filter(F.coalesce(cells, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(keys, k))
+    return F.map_concat(F.map_from_arrays(keys, values), more)
 
 
 def points(text: Column) -> Column:
@@ -73,17 +76,14 @@ def points(text: Column) -> Column:
 
 def _point(p: Column) -> Column:
     xy = F.from_json(p["center"], "array<string>")
-    return F.struct(F.size(xy).alias("n"), weight(F.get(xy, F.lit(0))).alias("x"), weight(F.get(xy, F.lit(1))).alias("y"), weight(p["weight"]).alias("w"), F.trim(p["reasoning"]).alias("reasoning"))
+    return F.struct(F.size(xy).alias("n"), weight(F.get(xy, F.lit(0))).alias("x"), weight(F.get(xy, F.lit(1))).alias("y"), weight(p["weight"]).alias("w"), F.when(F.schema_of_variant(p["reasoning"]) == "STRING", F.trim(F.try_variant_get(p["reasoning"], "$", "string"))).alias("reasoning"))
 
 
 def verify_points(items: Column) -> Column:
-    """Not empty, and every item has a center of two numbers in [0, 1], a weight in [0, 2] and a reason."""
-
-    def good(p: Column) -> Column:
-        q = _point(p)
-        return F.coalesce((q["n"] == 2) & q["x"].between(0, 1) & q["y"].between(0, 1) & q["w"].between(0, 2) & (q["reasoning"] != ""), F.lit(False))
-
-    return F.coalesce((F.size(items) > 0) & F.forall(items, good), F.lit(False))
+    """Not empty, and every item has a center of two numbers in [0, 1], a weight in [0, 2] and a reason that is a text."""
+    rows = F.transform(items, _point)
+    good = lambda q: F.coalesce((q["n"] == 2) & q["x"].between(0, 1) & q["y"].between(0, 1) & q["w"].between(0, 2) & (q["reasoning"] != ""), F.lit(False))
+    return F.coalesce((F.size(items) > 0) & F.forall(rows, good), F.lit(False))
 
 
 def patch_points(items: Column) -> Column:
@@ -124,3 +124,45 @@ def verify_matches(text: Column, strict_key: bool = False) -> Column:
     if strict_key:
         good = good & F.map_contains_key(doc, "top_100")
     return F.coalesce(good, F.lit(False))
+
+
+def saved_response(response: Column, grid: int = 4) -> Column:
+    """struct(result, format_verified, content_verified, no_weighting) as an annotation keeps it: the verified JSON, else
+    the whole response; NULL without weighting. ``grid`` 0 asks for a point list, more for a grid, less is an error."""
+    if grid < 0:
+        raise ValueError(f"invalid grid {grid}")
+    d = processed(response, "grid" if grid else "points", grid or 4)
+    kept = F.when(d["no_weighting"], F.lit(None)).when(d["format_verified"] & d["content_verified"], d["result"]).otherwise(response)
+    return F.struct(kept.alias("result"), d["format_verified"].alias("format_verified"), d["content_verified"].alias("content_verified"), d["no_weighting"].alias("no_weighting"))
+
+
+def repaired(documents: DataFrame, text: str = "text", grid: int = 4) -> DataFrame:
+    """Annotation documents (wrappers with ``result``) verified and, where they fail, patched and verified again.
+
+    Adds result (JSON text), format_verified, content_verified (NULL: the document is left as it was) and no_weighting.
+    A string result is cleaned and parsed first. Whatever is no JSON, has no result or one of another kind has no format.
+    """
+    v = F.try_parse_json(text)
+    rows = documents.withColumn("_v", F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
+    rows = rows.withColumn("_r", F.try_variant_get("_v", "$.result", "variant")).withColumn("_k", F.schema_of_variant("_r"))
+    plain = F.coalesce(F.try_variant_get("_v", "$.no_weighting", "boolean"), F.lit(False)) & F.coalesce(F.col("_k") == "VOID", F.lit(True))
+    whole = F.when(F.col("_k") == "STRING", clean_initial(F.try_variant_get("_r", "$", "string"))).when(F.col("_k").startswith("OBJECT") | F.col("_k").startswith("ARRAY"), F.to_json("_r"))
+    rows = rows.withColumn("no_weighting", F.col("_v").isNotNull() & plain).withColumn("_t", whole).withColumn("_kind", kind(F.col("_t")))
+    rows = rows.withColumn("_cells", F.when(F.col("_kind") == "object", as_map(F.col("_t")))).withColumn("_points", F.when(F.col("_kind") == "array", points(F.col("_t"))))
+    right = F.when(F.col("_kind") == "object", verify_grid(F.col("_cells"), grid)).when(F.col("_kind") == "array", verify_points(F.col("_points")))
+    rows = rows.withColumn("_ok", right).withColumn("_fixed", F.when(~F.col("_ok"), F.when(F.col("_kind") == "object", F.to_json(patch_grid(F.col("_cells"), grid))).otherwise(F.to_json(patch_points(F.col("_points"))))))
+    again = F.when(F.col("_kind") == "object", verify_grid(as_map(F.col("_fixed")), grid)).otherwise(verify_points(points(F.col("_fixed"))))
+    known = F.col("no_weighting") | F.col("_kind").isin("object", "array")
+    result = F.coalesce("_fixed", F.when(F.col("_kind").isin("object", "array"), F.col("_t")))
+    content = F.when(known, F.col("no_weighting") | F.when(F.col("_ok"), F.lit(True)).otherwise(again))
+    return fenced(rows.select(*documents.columns, result.alias("result"), F.when(known, F.lit(True)).alias("format_verified"), content.alias("content_verified"), "no_weighting"))
+
+
+def top100(response: Column) -> Column:
+    """struct(cleaned, format_verified, content_verified, original): the original response is kept only if it is no JSON."""
+    clean = clean_initial(response)
+    found = kind(clean)
+    return F.struct(
+        F.when(found.isNotNull(), clean).alias("cleaned"), F.coalesce(found == "object", F.lit(False)).alias("format_verified"), verify_matches(clean).alias("content_verified"),
+        F.when(found.isNull(), response).alias("original"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -19,6 +19,11 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows; the optimizer moves no filter or expression across, where it would copy long expressions for each use."""
+    return df.mapInArrow(lambda batches: batches, df.schema)
+
+
 def human_duration(seconds: Column) -> Column:
     """Seconds below a minute, minutes below an hour, else hours; one decimal."""
     return F.when(seconds < 60, F.format_string("%.1fs", seconds)).when(seconds < 3600, F.format_string("%.1fm", seconds / 60)).otherwise(F.format_string("%.1fh", seconds / 3600))

@@ -44,3 +44,38 @@ def message_parts(text: Column, images: Column) -> Column:
 def token_estimate(text: Column, images: Column) -> Column:
     """White-space words plus a fixed number for each image."""
     return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")) + IMAGE_TOKENS * images
+
+
+def categories(prompts: DataFrame) -> DataFrame:
+    return prompts.select("category").distinct()
+
+
+def listed(prompts: DataFrame, category: str) -> DataFrame:
+    """name, text of a category's prompts; a category that is not there is an error."""
+    found = prompts.where(F.col("category") == category).select("name", "text")
+    if found.isEmpty():
+        raise ValueError(f"no such category: {category}")
+    return found
+
+
+def added(prompts: DataFrame, more: DataFrame) -> DataFrame:
+    """``prompts`` with those of ``more`` (trimmed) put in or replaced; (category, name) is the key of both."""
+    kept = prompts.join(more.select("category", "name"), ["category", "name"], "left_anti").select("category", "name", "text")
+    return kept.unionByName(more.select("category", "name", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")))
+
+
+def converted(messages: Column) -> Column:
+    """Messages (array<struct<role, content: array<struct<type, text, url>>>>) as array<struct<role, parts>>.
+
+    System messages are dropped, assistant becomes model; an image's data URL becomes inline data (what follows the
+    first comma up to the next), another URL a file. A part is struct<kind, value> of kind text, inline_data or file_data.
+    """
+
+    def part(c: Column) -> Column:
+        data = c["url"].startswith("data:")
+        kind = F.when(c["type"] == "text", "text").when(data, "inline_data").otherwise("file_data")
+        return F.struct(kind.alias("kind"), F.when(c["type"] == "text", c["text"]).when(data, F.get(F.split(c["url"], ","), F.lit(1))).otherwise(c["url"]).alias("value"))
+
+    kept = F.filter(messages, lambda m: m["role"].isin("user", "assistant"))
+    fits = lambda c: c["type"].isin("text", "image_url")
+    return F.transform(kept, lambda m: F.struct(F.when(m["role"] == "assistant", "model").otherwise(m["role"]).alias("role"), F.transform(F.filter(m["content"], fits), part).alias("parts")))

@@ -1,66 +1,145 @@
-"""Weight maps from grids and from points."""
+"""Weight maps from grids and from points, as row-major arrays of height x width values.
+
+Nulls and edges: an empty grid and a point list without a valid point give a map of ones; a cell or point whose weight is
+missing, not numeric or NaN is left out; a grid that cannot be laid out (its cells are no square number, or a key with a
+weight is no cell name) gives NULL, and ``dispatched`` says fallback.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.functions.numbers import clamp
+from placegrid.functions.jsonclean import _point, as_map, points, weight
+from placegrid.functions.numbers import clamp, fenced
 
 SIGMA = 0.2
+#: Ratios up to this mean no attention at all.
+LEAST_RATIO = 1e-6
+
+
+def grid_side(cells: Column) -> Column:
+    """n of a map<string,string> with n x n cells (1 for an empty one); NULL if it cannot be laid out."""
+    n = F.bround(F.sqrt(F.size(cells).cast("double"))).cast("int")
+    odd = F.exists(F.map_entries(cells), lambda e: (F.length(e["key"]) > 1) & weight(e["value"]).isNotNull() & ~F.substring(e["key"], 2, 99).rlike(r"^\s*[+-]?[0-9]+\s*$"))
+    return F.when((n * n == F.size(cells)) & ~odd, F.greatest(n, F.lit(1)))
+
+
+def named_cells(cells: Column) -> Column:
+    """The map with upper-case letters (of two keys that become one the last counts)."""
+    entries = F.map_entries(cells)
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(F.concat(F.upper(F.substring(e["key"], 1, 1)), F.substring(e["key"], 2, 99)).alias("key"), e["value"].alias("value"))))
+
+
+def grid_weights(named: Column, n: Column) -> Column:
+    """array<double> of n x n weights: missing or not numeric 1, others limited to [0, 2]. Both columns should be bound."""
+    texts = F.transform(F.sequence(F.lit(0), n * n - 1), lambda i: F.try_element_at(named, F.concat(F.chr(F.floor(i / n) + 65), (i % n + 1).cast("string"))))
+    return F.transform(F.transform(texts, weight), lambda w: F.coalesce(clamp(w, 0, 2), F.lit(1.0)))
+
+
+def nearest(n: int, size: int) -> np.ndarray:
+    """size x n: which cell each row belongs to; cell r fills [round(r size / n), round((r + 1) size / n)) (half to even), the last to the edge."""
+    edge = np.round(np.arange(n) * size / n)
+    return np.eye(n)[np.searchsorted(edge, np.arange(size), side="right") - 1]
+
+
+def lerped(n: int, size: int) -> np.ndarray:
+    """size x n: shares of the two cells around each row; half-pixel centres, source (i + .5) n / size - .5 not below 0."""
+    source = np.maximum((np.arange(size) + 0.5) * (n / size) - 0.5, 0)
+    low = np.minimum(np.floor(source).astype(int), n - 1)
+    share = source - low
+    return np.eye(n)[low] * (1 - share)[:, None] + np.eye(n)[np.minimum(low + 1, n - 1)] * share[:, None]
+
+
+def laid(height: int, width: int, interpolate: bool) -> Callable[[Column, Column, Column], Column]:
+    """Arrays of rows x columns values brought to height x width, in numpy batches; NULL stays NULL."""
+    weights = lerped if interpolate else nearest
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series, rows: pd.Series, columns: pd.Series) -> pd.Series:
+        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        out: list[np.ndarray | None] = []
+        for v, r, c in zip(values, rows, columns, strict=True):
+            if v is None or pd.isna(r):
+                out.append(None)
+                continue
+            shape = int(r), int(c)
+            if shape not in known:
+                known[shape] = weights(shape[0], height), weights(shape[1], width)
+            a, b = known[shape]
+            out.append((a @ np.asarray(v, np.float64).reshape(shape) @ b.T).ravel())
+        return pd.Series(out, dtype=object)
 
+    return run.asNondeterministic()  # so that filters on maps are not pushed below, which would lay them out twice
 
-def pixels(height: int, width: int) -> Column:
-    """array<struct<y,x>> of a raster."""
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(height - 1)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda x: F.struct(y.alias("y"), x.alias("x")))))
 
+def grid_maps(rows: DataFrame, cells: str, height: int, width: int, interpolate: bool = False, name: str = "map") -> DataFrame:
+    """Adds the map of each grid (a column of map<string,string>), NULL if it cannot be laid out."""
+    sides = rows.withColumn("_n", grid_side(F.col(cells))).withColumn("_e", named_cells(F.col(cells)))
+    weighted = sides.withColumn("_w", F.when(F.col("_n").isNotNull(), grid_weights(F.col("_e"), F.col("_n"))))
+    return weighted.select(*rows.columns, laid(height, width, interpolate)("_w", "_n", "_n").alias(name))
 
-def grid_cells(cells: Column) -> Column:
-    """array<struct<row,col,w>> of map<string,double>: letters are rows, numbers columns from 1."""
-    return F.transform(F.map_entries(cells), lambda e: F.struct((F.ascii(e["key"]) - 65).alias("row"), (F.substring(e["key"], 2, 9).cast("int") - 1).alias("col"), clamp(e["value"], 0, 2).alias("w")))
 
+def resized(values: Column, shape: tuple[int, int], height: int, width: int) -> Column:
+    """A map of another shape brought to height x width bilinearly; one of the same shape stays."""
+    return values if shape == (height, width) else laid(height, width, True)(values, F.lit(shape[0]), F.lit(shape[1]))
 
-def _weight(cells: Column, row: Column, col: Column) -> Column:
-    """The weight of a cell, 1 where the grid has none."""
-    key = F.concat(F.chr(row + 65), (col + 1).cast("string"))
-    return F.coalesce(clamp(F.try_element_at(cells, key), 0, 2), F.lit(1.0))
 
+def valid_points(items: Column) -> Column:
+    """array<struct<x,y,w>> of the points with two coordinates and a weight, limited to their ranges."""
+    rows = F.filter(F.transform(items, _point), lambda q: F.coalesce((q["n"] == 2) & q["x"].isNotNull() & q["y"].isNotNull() & q["w"].isNotNull(), F.lit(False)))
+    return F.transform(rows, lambda q: F.struct(clamp(q["x"], 0, 1).alias("x"), clamp(q["y"], 0, 1).alias("y"), clamp(q["w"], 0, 2).alias("w")))
 
-def sharp_map(grids: DataFrame, key: str, cells: str, n: int, height: int, width: int) -> DataFrame:
-    """key, y, x, w: each cell's rectangle [round(r H / n), round((r + 1) H / n)) (half to even), the last to the edge."""
 
-    def edge(i: Column, size: int) -> Column:
-        return F.bround(i * float(size) / n, 0)
+def point_map(points: Column, height: int, width: int, sigma: float = SIGMA) -> Column:
+    """Softmax over points (array<struct<x,y,w>>) of -d^2 / (2 sigma^2), weighted by w, in numpy; ones without points."""
+    gy, gx = (g.ravel()[:, None] for g in np.meshgrid(np.linspace(0, 1, height), np.linspace(0, 1, width), indexing="ij"))
 
-    def cell(at: Column, size: int) -> Column:
-        return F.greatest(F.lit(0), F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0), lambda s, i: F.when(edge(i.cast("double"), size) <= at, i).otherwise(s)))
+    @F.pandas_udf("array<double>")
+    def run(xs: pd.Series, ys: pd.Series, ws: pd.Series) -> pd.Series:
+        out: list[np.ndarray | None] = []
+        for x, y, w in zip(xs, ys, ws, strict=True):
+            if x is None:
+                out.append(None)
+            elif not len(x):
+                out.append(np.ones(height * width))
+            else:
+                logits = -((gx - np.asarray(x, np.float64)) ** 2 + (gy - np.asarray(y, np.float64)) ** 2) / (2 * sigma * sigma + 1e-12)
+                e = np.exp(logits - logits.max(1, keepdims=True))
+                out.append(np.clip(e @ np.asarray(w, np.float64) / e.sum(1), 0, 2))
+        return pd.Series(out, dtype=object)
 
-    rows = grids.select(key, cells, F.explode(pixels(height, width)).alias("p"))
-    return rows.select(key, F.col("p.y").alias("y"), F.col("p.x").alias("x"), _weight(F.col(cells), cell(F.col("p.y"), height), cell(F.col("p.x"), width)).alias("w"))
+    return run.asNondeterministic()(points["x"], points["y"], points["w"])
 
 
-def bilinear_map(grids: DataFrame, key: str, cells: str, n: int, height: int, width: int) -> DataFrame:
-    """key, y, x, w: half-pixel centres, source (i + .5) n / H - .5 not below 0, four-point interpolation."""
-    rows = grids.select(key, cells, F.explode(pixels(height, width)).alias("p")).select(key, cells, F.col("p.y").alias("y"), F.col("p.x").alias("x"))
+def cells_of(maps: DataFrame, key: str, column: str, width: int) -> DataFrame:
+    """key, y, x, w of maps, row by row."""
+    rows = maps.select(key, F.posexplode(column).alias("i", "w"))
+    return rows.select(key, F.floor(F.col("i") / width).cast("int").alias("y"), (F.col("i") % width).alias("x"), "w")
 
-    def source(at: str, size: int) -> Column:
-        return F.greatest((F.col(at) + F.lit(0.5)) * (n / size) - F.lit(0.5), F.lit(0.0))
 
-    rows = rows.withColumn("sy", source("y", height)).withColumn("sx", source("x", width))
-    for a in ("y", "x"):
-        rows = rows.withColumn(f"{a}0", F.least(F.floor(f"s{a}").cast("int"), F.lit(n - 1))).withColumn(f"{a}1", F.least(F.col(f"{a}0") + 1, F.lit(n - 1))).withColumn(f"f{a}", F.col(f"s{a}") - F.col(f"{a}0"))
-    at = lambda r, c: _weight(F.col(cells), F.col(r), F.col(c))
-    top = at("y0", "x0") * (1 - F.col("fx")) + at("y0", "x1") * F.col("fx")
-    low = at("y1", "x0") * (1 - F.col("fx")) + at("y1", "x1") * F.col("fx")
-    return rows.select(key, "y", "x", (top * (1 - F.col("fy")) + low * F.col("fy")).alias("w"))
+def annotated(queries: DataFrame, annotations: DataFrame) -> DataFrame:
+    """Queries (basename) with the text of the annotation of the same stem; NULL where there is none."""
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    known = annotations.select(stem("filename").alias("_stem"), "text")
+    return queries.withColumn("_stem", stem("basename")).join(known, "_stem", "left").drop("_stem")
 
 
-def point_map(points: DataFrame, key: str, height: int, width: int, sigma: float = SIGMA) -> DataFrame:
-    """key, y, x, w from rows (key, px, py, weight): softmax over points of -d^2 / (2 sigma^2), weighted; in [0, 2]."""
-    rows = points.select(key, clamp(F.col("px"), 0, 1).alias("px"), clamp(F.col("py"), 0, 1).alias("py"), clamp(F.col("weight"), 0, 2).alias("weight"), F.explode(pixels(height, width)).alias("p"))
-    gy, gx = F.col("p.y") / float(max(height - 1, 1)), F.col("p.x") / float(max(width - 1, 1))
-    logit = -((gx - F.col("px")) * (gx - F.col("px")) + (gy - F.col("py")) * (gy - F.col("py"))) / (2 * sigma * sigma + 1e-12)
-    rows = rows.select(key, F.col("p.y").alias("y"), F.col("p.x").alias("x"), "weight", logit.alias("l"))
-    e = F.exp(F.col("l") - F.max("l").over(Window.partitionBy(key, "y", "x")))
-    rows = rows.withColumn("e", e)
-    return rows.groupBy(key, "y", "x").agg(clamp(F.sum(F.col("e") * F.col("weight")) / F.sum("e"), 0, 2).alias("w"))
+def dispatched(rows: DataFrame, height: int, width: int, ratio: Column, text: str = "text", interpolate: bool = False) -> DataFrame:
+    """Adds attention_status (plain, grid, points, fallback) and attention (a map, NULL where plain or fallback).
+
+    A ratio up to LEAST_RATIO, no document, no result or one of another kind means plain; a wrapper's result is taken out.
+    """
+    found = rows.withColumn("_d", F.when(ratio > LEAST_RATIO, F.try_parse_json(text)))
+    inner = F.try_variant_get("_d", "$.result", "variant")
+    found = found.withColumn("_d", F.when(inner.isNotNull(), inner).otherwise(F.col("_d"))).withColumn("_k", F.schema_of_variant("_d"))
+    found = found.withColumn("_k", F.when(F.col("_k").startswith("OBJECT"), "object").when(F.col("_k").startswith("ARRAY"), "array")).withColumn("_t", F.to_json("_d"))
+    found = found.withColumn("_m", F.when(F.col("_k") == "object", as_map(F.col("_t")))).withColumn("_n", grid_side(F.col("_m")))
+    found = found.withColumn("_p", F.when(F.col("_k") == "array", valid_points(points(F.col("_t")))))
+    found = grid_maps(found, "_m", height, width, interpolate, "_g").withColumn("_a", point_map(F.col("_p"), height, width))
+    status = F.when(F.col("_k") == "array", "points").when((F.col("_k") == "object") & F.col("_n").isNotNull(), "grid").when(F.col("_k") == "object", "fallback").otherwise("plain")
+    return fenced(found.select(*rows.columns, status.alias("attention_status"), F.coalesce("_a", "_g").alias("attention")))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placegrid.functions.paths import stem
@@ -58,20 +61,133 @@ def shard_completeness(expected: DataFrame, found: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("rows") > 0).alias("found"), F.count_if(F.col("rows").isNull()).alias("missing"), F.count_if(F.col("rows") == 0).alias("corrupt")).withColumn("rate", F.try_divide("found", "expected"))
 
 
-def batches(items: DataFrame, key: str, size: int, width: int = 4096) -> DataFrame:
-    """Consecutive batches of ``size`` in the order of a distinct integer key, numbered from 0 and zero-padded.
+def prefix_counts(rows: DataFrame, key: str, width: int) -> DataFrame:
+    """range, first: the number of rows with a key below each range of ``width`` keys, without one task that holds all.
 
-    Ranks are prefix sums of counts over ranges of ``width`` keys plus the row's number within its range, so only one
-    row a range is ordered globally.
+    Ranges are summed in blocks of ``width`` ranges, and the blocks' sums in turn; the last level is one short window.
     """
+    counts = rows.groupBy(F.floor(F.col(key) / width).alias("range")).agg(F.count(F.lit(1)).alias("n"))
+    block = F.floor(F.col("range") / width)
+    blocks = counts.groupBy(block.alias("block")).agg(F.sum("n").alias("n"))
+    before = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
+    inside = F.sum("n").over(Window.partitionBy("block").orderBy("range")) - F.col("n")
+    return counts.withColumn("block", block).withColumn("inside", inside).join(before, "block").select("range", (F.col("base") + F.col("inside")).alias("first"))
+
+
+def ranked(items: DataFrame, key: str, width: int = 4096) -> DataFrame:
+    """Adds position (from 0) in the order of a distinct integer key."""
     rows = items.withColumn("_r", F.floor(F.col(key) / width))
-    counts = rows.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_first"))
-    numbered = rows.join(before, "_r").withColumn("_i", F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1)
-    return numbered.withColumn("batch", F.lpad(F.floor((F.col("_first") + F.col("_i")) / size).cast("string"), 6, "0")).drop("_r", "_i", "_first")
+    first = prefix_counts(items, key, width).withColumnRenamed("range", "_r")
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1).join(first, "_r")
+    return numbered.withColumn("position", F.col("first") + F.col("_i")).drop("_r", "_i", "first")
+
+
+def batches(items: DataFrame, key: str, size: int, width: int = 4096) -> DataFrame:
+    """Consecutive batches of ``size`` in the order of a distinct integer key, numbered from 0 and zero-padded."""
+    return ranked(items, key, width).withColumn("batch", F.lpad(F.floor(F.col("position") / size).cast("string"), 6, "0")).drop("position")
 
 
 def usage(rows: DataFrame, by: str) -> DataFrame:
     """Token usage summed by a key."""
     names = ("prompt_tokens", "completion_tokens", "thinking_tokens", "total_tokens", "api_calls")
     return rows.groupBy(by).agg(*[F.sum(n).alias(n) for n in names])
+
+
+def with_output(items: DataFrame, outputs: DataFrame, suffix: str = ".json") -> DataFrame:
+    """Items whose output file <stem><suffix> is there: what a checkpoint is rebuilt from."""
+    made = outputs.select(F.col("output").alias("_o")).distinct()
+    return items.withColumn("_o", F.concat(stem(F.col("item")), F.lit(suffix))).join(made, "_o", "left_semi").drop("_o")
+
+
+def keyed_in(items: DataFrame, results: DataFrame) -> DataFrame:
+    """Items that are keys of a result map (rows with a column ``results`` of type map)."""
+    return items.join(results.select(F.explode(F.map_keys("results")).alias("item")).distinct(), "item", "left_semi")
+
+
+def rerank_tasks(items: DataFrame, retrieval: DataFrame, done: DataFrame, root: str, most: int = 100) -> DataFrame:
+    """item, candidates: for items with a first result and no answer yet, paths of the first ``most`` targets in rank order.
+
+    An item whose list is empty is an error.
+    """
+    open_items = items.join(retrieval.select(F.col("query").alias("item")).distinct(), "item", "left_semi").join(done.select("item").distinct(), "item", "left_anti")
+    ranked_ = retrieval.where(F.col("rank") <= most).groupBy(F.col("query").alias("item")).agg(F.array_compact(F.transform(F.array_sort(F.collect_list(F.struct("rank", "target"))), lambda t: t["target"])).alias("t"))
+    paths = F.transform("t", lambda t: F.concat(F.lit(root.rstrip("/") + "/"), t))
+    rows = open_items.join(ranked_, "item", "left")
+    return rows.select("item", F.when(F.size("t") > 0, paths).otherwise(F.raise_error(F.concat(F.lit("no candidates for "), F.col("item")))).alias("candidates"))
+
+
+def status_counts(ledger: DataFrame) -> DataFrame:
+    """One row: succeeded and failed items."""
+    return ledger.agg(F.count_if(F.col("status") == "success").alias("succeeded"), F.count_if(F.coalesce(F.col("status") != "success", F.lit(True))).alias("failed"))
+
+
+def size_plan(shards: DataFrame, single_gb: float = 6.0, chunk_gb: float = 5.0) -> DataFrame:
+    """One row: shards, gib, strategy (single or chunked), chunks and shards_per_chunk of a consolidation (shards: bytes)."""
+    rows = shards.agg(F.count(F.lit(1)).alias("shards"), (F.coalesce(F.sum("bytes"), F.lit(0)) / F.lit(float(1 << 30))).alias("gib"))
+    chunks = F.greatest(F.lit(1), F.floor(F.col("gib") / chunk_gb))
+    return rows.withColumn("strategy", F.when(F.col("gib") > single_gb, "chunked").otherwise("single")).withColumn("chunks", F.when(F.col("gib") > single_gb, chunks).otherwise(F.lit(1))).withColumn(
+        "shards_per_chunk", F.greatest(F.lit(1), F.floor(F.col("shards") / F.col("chunks")))
+    )
+
+
+def chunk_ranges(shards: DataFrame, chunks: int) -> DataFrame:
+    """chunk, first, last, n: consecutive ranges of distinct integer ``shard`` numbers; the last one takes what is left over."""
+    rows = ranked(shards.select("shard"), "shard")
+    per = F.greatest(F.lit(1), F.floor(F.lit(rows.count()) / chunks))
+    chunk = F.least(F.floor(F.col("position") / per), F.lit(chunks - 1))
+    return rows.groupBy(chunk.alias("chunk")).agg(F.min("shard").alias("first"), F.max("shard").alias("last"), F.count(F.lit(1)).alias("n"))
+
+
+def chunk_size(shards: int, memory_gib: float, feature_bytes: int = 2048, features: int = 64, share: float = 0.4) -> int:
+    """Shards that may be in memory at once: a share of the memory, at most all, at least one."""
+    return int(min(max(1, memory_gib * (1 << 30) * share // feature_bytes // features), shards))
+
+
+def missing_shards(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """shard, reason (missing or corrupt) of the shards to make again. found: shard, rows (0: corrupt)."""
+    rows = expected.join(found, "shard", "left")
+    return rows.select("shard", F.when(F.col("rows").isNull(), "missing").when(F.col("rows") == 0, "corrupt").alias("reason")).where("reason is not null")
+
+
+def to_extract(paths: DataFrame, cached: DataFrame) -> DataFrame:
+    """Paths without a cached feature row: all that a feature cache does not have, instead of all if counts differ."""
+    return paths.join(cached.select("path").distinct(), "path", "left_anti")
+
+
+def verified(features: DataFrame, expected: DataFrame) -> DataFrame:
+    """One row: expected and found rows of a consolidated feature table, and whether they match."""
+    counts = features.agg(F.count(F.lit(1)).alias("found")).crossJoin(expected.agg(F.count(F.lit(1)).alias("expected")))  # one row each
+    return counts.select("expected", "found", (F.col("expected") == F.col("found")).alias("complete"))
+
+
+def checkpoint_info(ledger: DataFrame) -> DataFrame:
+    """One row: attempts, items, processed (latest status success), failed, last attempt."""
+    now = latest(ledger)
+    ends = ledger.agg(F.count(F.lit(1)).alias("attempts"), F.max("attempt").alias("last_attempt"))
+    return ends.crossJoin(now.agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("status") == "success").alias("processed"), F.count_if(F.coalesce(F.col("status") != "success", F.lit(True))).alias("failed")))
+
+
+def checkpoint(spark: SparkSession, main: str, backup: str, schema: str) -> DataFrame:
+    """The ledger at ``main``; the backup if the main one is there but cannot be read; empty if there is no main one."""
+    for path in (main, backup):
+        try:
+            rows = spark.read.schema(schema).parquet(path)
+            rows.limit(1).collect()
+            return rows
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" in str(e):
+                break
+    return spark.createDataFrame([], schema)
+
+
+def cached(spark: SparkSession, base: str, parameters: dict[str, object], make: Callable[[], DataFrame]) -> DataFrame:
+    """A result under a folder named by all its parameters (and what it was made from), made only if it is not there."""
+    name = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    path = f"{base.rstrip('/')}/{name}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    make().write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)

@@ -2,7 +2,9 @@
 
 Exact k-nearest-neighbour search packs both sides into blocks of rows and compares block with block in numpy (a stated
 query set against all references): references are never broadcast as a whole, each block pair keeps only k rows a query,
-and a windowed top-k merges them. Squared distances are summed in double precision; ties are broken by target.
+and a windowed top-k merges them. Squared distances are summed in double precision; ties are broken by target. Rows
+without a vector, or with a NULL or NaN in it, are neither queries nor references; ``unusable`` reports them, and those of
+another length than a stated size.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 EPS, POWER = 1e-6, 3.0
 
@@ -28,15 +31,20 @@ def l2_normalized(v: Column) -> Column:
 
 def blocked(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
     """Rows packed into blocks of about ``size``: name_keys, name_vectors."""
-    rows = df.where(F.col(vector).isNotNull())
+    rows = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
     n = max(1, rows.count() // size + 1)
     block = F.pmod(F.xxhash64(key), F.lit(n))
     packed = rows.select(block.alias("block"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("r"))
     return packed.groupBy("block").agg(F.collect_list("r").alias("r")).select(F.col("r.k").alias(f"{name}_keys"), F.col("r.v").alias(f"{name}_vectors"))
 
 
-def knn(queries: DataFrame, references: DataFrame, k: int, query: str = "query", target: str = "target", vector: str = "features", block: int = 1024) -> DataFrame:
-    """query, rank (from 1), target, d2 of the k nearest references; min(k, references) rows a query. Keys are longs."""
+def knn(queries: DataFrame, references: DataFrame, k: int, query: str = "query", target: str = "target", vector: str = "features", block: int = 1024, size: int | None = None) -> DataFrame:
+    """query, rank (from 1), target, d2 of the k nearest references; min(k, references) rows a query. Keys are longs.
+
+    ``size``: the vectors' length; others are left out.
+    """
+    if size is not None:
+        queries, references = queries.where(F.size(vector) == size), references.where(F.size(vector) == size)
     pairs = blocked(queries, query, vector, block, "q").crossJoin(blocked(references, target, vector, 4 * block, "t"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,33 +84,69 @@ def expanded(queries: DataFrame, references: DataFrame, retrieval: DataFrame, k:
     return queries.join(mean, "query").select("query", mixed.alias("features"))
 
 
-def long_form(vectors: DataFrame, key: str, vector: str, height: int, width: int) -> DataFrame:
-    """key, c, y, x, v of flat channel-major feature maps."""
-    cells = vectors.select(key, F.posexplode(vector).alias("i", "v"))
-    size = height * width
-    c, y, x = F.floor(F.col("i") / size), F.floor((F.col("i") % size) / width), F.col("i") % width
-    return cells.select(key, c.cast("int").alias("c"), y.cast("int").alias("y"), x.cast("int").alias("x"), F.col("v").cast("double").alias("v"))
-
-
-def gem(cells: DataFrame, key: str, p: float = POWER, eps: float = EPS) -> DataFrame:
-    """Generalised mean of each channel."""
-    power = F.pow(F.greatest("v", F.lit(eps)), F.lit(p))
-    return cells.groupBy(key, "c").agg(F.pow(F.avg(power), F.lit(1.0 / p)).alias("g"))
+def pooled(rows: DataFrame, key: str, vector: str, shape: tuple[int, int, int], attention: str | None = None, alpha: str | None = None, p: float = POWER, eps: float = EPS) -> DataFrame:
+    """key, further columns but the arrays, and pooled: the generalised mean of each channel of flat channel-major maps.
 
+    With ``attention`` (a map of height x width, NULL: plain) and ``alpha`` (up to 1e-6: plain) positions are weighted by
+    existing + alpha (attention - existing); existing: a position's share of the power sums over channels against its
+    mean. Batches of arrays are pooled in numpy. A map of another size than ``shape`` or with NULLs gives NULL.
+    """
+    channels, height, width = shape
+    spots = height * width
+    arrays = [vector, *([attention] if attention else [])]
+    rest = [c for c in rows.columns if c not in arrays]
+    schema = StructType([*(rows.schema[c] for c in rest), StructField("pooled", ArrayType(DoubleType()))])
 
-def weighted_gem(cells: DataFrame, attention: DataFrame, key: str, alpha: Column, p: float = POWER, eps: float = EPS) -> DataFrame:
-    """GeM with weights existing + alpha (attention - existing); alpha up to 1e-6 means the plain mean.
+    def fits(v: object, size: int) -> bool:
+        return v is not None and len(v) == size and all(x is not None for x in v)
 
-    existing: each position's share of the power sums over channels against its mean. ``attention``: key, y, x, w
-    (missing: 1). ``cells`` may carry a column alpha.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            good = np.array([fits(v, channels * spots) for v in b[vector]], bool)
+            out: list[list[float] | None] = [None] * len(b)
+            if good.any():
+                at = np.flatnonzero(good)
+                x = np.maximum(np.stack([np.asarray(b[vector].iloc[i], np.float64) for i in at]).reshape(-1, channels, spots), eps) ** p
+                w = np.ones((len(at), spots))
+                if attention:
+                    existing = np.maximum(x.sum(1) / (spots + eps), eps) ** (1 / p)
+                    existing /= existing.mean(1, keepdims=True) + eps
+                    ratio = b[alpha].to_numpy(np.float64)[at]
+                    given = [b[attention].iloc[i] for i in at]
+                    on = (ratio > 1e-6) & np.array([fits(g, spots) for g in given], bool)
+                    target = np.stack([np.asarray(g, np.float64) if o else np.ones(spots) for g, o in zip(given, on, strict=True)])
+                    w = np.where(on[:, None], existing + ratio[:, None] * (target - existing), w)
+                    total = w.sum(1) + np.where(on, eps, 0)
+                else:
+                    total = w.sum(1)
+                for i, g in zip(at, (((w[:, None, :] * x).sum(2) / total[:, None]) ** (1 / p)).tolist(), strict=True):
+                    out[i] = g
+            yield b[rest].assign(pooled=out)
+
+    return rows.mapInPandas(run, schema)
+
+
+def projected(rows: DataFrame, key: str, vector: str, matrix: np.ndarray, bias: np.ndarray | None = None) -> DataFrame:
+    """key, features: matrix x vector (+ bias), as a model's last layer. The matrix has the model's fixed size.
+
+    A NULL vector or one of another length gives NULL.
     """
-    keys = [c for c in cells.columns if c not in ("c", "y", "x", "v")]
-    rows = cells.join(attention, [key, "y", "x"], "left").withColumn("p", F.pow(F.greatest("v", F.lit(eps)), F.lit(p)))
-    spot, whole = Window.partitionBy(*keys, "y", "x"), Window.partitionBy(*keys, "c")
-    rows = rows.withColumn("spots", F.count(F.lit(1)).over(whole))
-    rows = rows.withColumn("contrib", F.greatest(F.pow(F.sum("p").over(spot) / (F.col("spots") + eps), F.lit(1.0 / p)), F.lit(eps)))
-    rows = rows.withColumn("existing", F.col("contrib") / (F.avg("contrib").over(whole) + eps))
-    w = F.col("existing") + alpha * (F.coalesce("w", F.lit(1.0)) - F.col("existing"))
-    rows = rows.withColumn("weight", F.when(alpha <= 1e-6, F.lit(None)).otherwise(w))
-    mean = F.when(F.count("weight") > 0, F.sum(F.col("weight") * F.col("p")) / (F.sum("weight") + eps)).otherwise(F.avg("p"))
-    return rows.groupBy(*keys, "c").agg(F.pow(mean, F.lit(1.0 / p)).alias("g"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out: list[list[float] | None] = [None] * len(b)
+            at = [i for i, v in enumerate(b[vector]) if v is not None and len(v) == matrix.shape[1]]
+            if at:
+                y = np.stack([np.asarray(b[vector].iloc[i], np.float64) for i in at]) @ matrix.T + (0 if bias is None else bias)
+                for i, v in zip(at, y.tolist(), strict=True):
+                    out[i] = v
+            yield pd.DataFrame({key: b[key], "features": out})
+
+    return rows.select(key, vector).mapInPandas(run, StructType([rows.schema[key], StructField("features", ArrayType(DoubleType()))]))
+
+
+def unusable(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """key, problem of the rows that a search leaves out: null, length or nan."""
+    v = F.col(vector)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    return rows.select(key, F.when(v.isNull(), "null").when(F.size(v) != size, "length").when(bad, "nan").alias("problem")).where("problem is not null")

@@ -26,21 +26,32 @@ AT = (
 
 _CELLS = [(f"{chr(65 + r)}{c + 1}", r, c) for r in range(4) for c in range(4)]
 _CELL = "'\"{name}\":' || CASE WHEN event_id % 13 = {n} THEN '\"high\"' ELSE CAST((event_id * {m} + {c}) % 25 AS VARCHAR(9)) END || '{end}'"
-#: Grids with weights 0 to 24, some texts, and one cell missing where event_id % 5 = 0.
+#: Grids with weights 0 to 24, some texts, one cell missing where event_id % 5 = 0, and a further key where event_id % 7 = 0.
 GRID = "'{' || " + " || ".join(
     ("CASE WHEN event_id % 5 = 0 THEN '' ELSE " if i == 0 else "") + _CELL.format(name=n, n=4 * r + c, m=r + 1, c=c, end="," if i < 15 else "") + (" END" if i == 0 else "") for i, (n, r, c) in enumerate(_CELLS)
-) + " || '}'"
+) + " || CASE WHEN event_id % 7 = 0 THEN ',\"note\":\"x' || CAST(event_id AS VARCHAR(9)) || '\"' ELSE '' END || '}'"
+#: Two points: a blank or numeric reason, a weight that is a text, a center of one number, and no point at all occur.
 POINTS = (
-    "'[{\"center\":[0.' || CAST(event_id % 9 AS VARCHAR(9)) || ',' || CAST(event_id % 3 AS VARCHAR(9)) || '],\"weight\":' || CAST(event_id % 5 AS VARCHAR(9)) || ',\"reasoning\":\"' || "
-    "CASE WHEN event_id % 4 = 0 THEN '' ELSE 'door' END || '\"},{\"center\":[' || CASE WHEN event_id % 6 = 0 THEN '0.5' ELSE '0.5,0.25' END || '],\"weight\":1,\"reasoning\":\"sign\"}]'"
+    "CASE WHEN event_id % 10 = 7 THEN '[]' ELSE '[{\"center\":[0.' || CAST(event_id % 9 AS VARCHAR(9)) || ',' || CAST(event_id % 3 AS VARCHAR(9)) || '],\"weight\":' || "
+    "CASE WHEN event_id % 9 = 4 THEN '\"heavy\"' ELSE CAST(event_id % 5 AS VARCHAR(9)) END || ',\"reasoning\":\"' || "
+    "CASE WHEN event_id % 4 = 0 THEN '' ELSE 'door' END || '\"},{\"center\":[' || CASE WHEN event_id % 6 = 0 THEN '0.5' ELSE '0.5,0.25' END || '],\"weight\":1,\"reasoning\":' || "
+    "CASE WHEN event_id % 8 = 1 THEN '7' ELSE '\"sign\"' END || '}]' END"
 )
 REPLY = (
     f"CASE event_id % 6 WHEN 0 THEN '```json' || chr(10) || {POINTS} || chr(10) || '```' WHEN 1 THEN 'Here it is: ' || {POINTS} WHEN 2 THEN ' None ' "
     f"WHEN 3 THEN replace({POINTS}, '}}]', '}},]') WHEN 4 THEN 'sorry' ELSE {POINTS} END"
 )
 MATCHES = (
-    "CASE event_id % 4 WHEN 0 THEN '{\"matches\":[{\"image_number\":' || CAST(event_id AS VARCHAR(9)) || ',\"confidence\":\"high\",\"reasoning\":\"x\"}]}' WHEN 1 THEN '{\"matches\":null}' "
-    "WHEN 2 THEN '{\"matches\":[{\"image_number\":1}]}' ELSE '{\"top_100\":[]}' END"
+    "CASE event_id % 6 WHEN 0 THEN '{\"matches\":[{\"image_number\":' || CAST(event_id AS VARCHAR(9)) || ',\"confidence\":\"high\",\"reasoning\":\"x\"}]}' WHEN 1 THEN '{\"matches\":null}' "
+    "WHEN 2 THEN '{\"matches\":[{\"image_number\":1}]}' WHEN 3 THEN '{\"top_100\":[]}' "
+    "WHEN 4 THEN '```json{\"top_100\":[1],\"matches\":[{\"image_number\":2,\"confidence\":\"low\"},]}```' ELSE 'no match ' || CAST(event_id AS VARCHAR(9)) END"
+)
+_TEXT = f"replace(replace({REPLY}, '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
+#: Annotation documents: points, a grid, no weighting, no result, a text, broken, a number, and a grid without wrapper.
+DOCUMENT = (
+    f"CASE event_id % 8 WHEN 0 THEN '{{\"result\":' || {POINTS} || '}}' WHEN 1 THEN '{{\"timestamp\":\"t\",\"result\":' || {GRID} || '}}' "
+    f"WHEN 2 THEN '{{\"result\":null,\"no_weighting\":true}}' WHEN 3 THEN '{{\"result\":null}}' WHEN 4 THEN '{{\"result\":\"' || {_TEXT} || '\"}}' "
+    f"WHEN 5 THEN '{{\"result\":' WHEN 6 THEN '{{\"result\":7}}' ELSE {GRID} END"
 )
 MARKERS = "'Compare {IMAGE_0} with {IMAGE_' || CAST(turn AS VARCHAR(9)) || '-' || CAST(turn + conv_id % 4 AS VARCHAR(9)) || '} and ' || role"
 

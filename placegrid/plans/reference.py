@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placegrid.functions import jsonclean as J
 from placegrid.functions import paths as P
-from placegrid.functions import prompts
+from placegrid.functions import prompts, sizes
 from placegrid.functions.numbers import human_duration
 from placegrid.operators import attention, ledger, vectors
 from placegrid.operators import places as L
 from placegrid.plans import fixtures as X
-from placegrid.sources import images
+from placegrid.sources import agents, images
 from placegrid.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,8 +207,10 @@ def verify_grid(spark, sf):
 
 @registered
 def patch_grid(spark, sf):
-    rows = with_cells(spark, sf).select("event_id", F.explode(J.patch_grid(F.col("cells"))).alias("cell", "w"))
-    return rows.select("event_id", "cell", r6(F.col("w")).alias("w"))
+    """Cells of the patched grids; keys beyond the grid keep their texts."""
+    rows = with_cells(spark, sf).select("event_id", F.explode(J.patch_grid(F.col("cells"))).alias("cell", "v"))
+    ours = F.col("cell").isin(J.grid_keys())
+    return rows.select("event_id", "cell", F.when(ours, r6(F.col("v").cast("double"))).alias("w"), F.when(~ours, F.col("v")).alias("other"))
 
 
 @registered
@@ -220,77 +224,179 @@ def patch_points(spark, sf):
     return rows.select("event_id", "pos", r6(F.col("p.center")[0]).alias("x"), r6(F.col("p.center")[1]).alias("y"), r6(F.col("p.weight")).alias("w"), F.col("p.reasoning").alias("reasoning"))
 
 
-def processed(spark, sf):
-    return replies(spark, sf).select("event_id", J.processed(F.col("reply"), "points").alias("d")).select("event_id", "d.*")
+@registered
+def process_replies(spark, sf):
+    """Raw replies as point lists and as grids: result and flags."""
+    rows = X.built(spark, sf, "events", "event_id", reply=X.REPLY, grid=f"CASE event_id % 3 WHEN 0 THEN 'Sure: ' || {X.GRID} WHEN 1 THEN {X.GRID} ELSE ' NONE' END")
+    both = rows.select("event_id", J.processed(F.col("reply"), "points").alias("p"), J.processed(F.col("grid"), "grid").alias("g"))
+    names = ("format_verified", "content_verified", "no_weighting")
+    return both.select("event_id", F.col("p.result").alias("result"), *[F.col(f"{t}.{n}").alias(f"{t}_{n}") for t in "pg" for n in names])
+
+
+@registered
+def save_response(spark, sf):
+    rows = replies(spark, sf).select("event_id", J.saved_response(F.col("reply"), 0).alias("s"))
+    return rows.select("event_id", "s.*")
+
+
+def repaired(spark, sf):
+    return J.repaired(X.built(spark, sf, "events", "event_id", text=X.DOCUMENT))
+
+
+@registered
+def repair_documents(spark, sf):
+    """Flags of the repaired documents, and how many items or keys their results have."""
+    n = F.coalesce(F.size(F.from_json("result", "array<string>")), F.size(F.map_keys(J.as_map(F.col("result")))))
+    return repaired(spark, sf).select("event_id", "format_verified", "content_verified", "no_weighting", F.when(F.col("result").isNotNull(), n).alias("n"))
 
 
 @registered
 def batch_clean_report(spark, sf):
-    return processed(spark, sf).agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~F.col("format_verified")).alias("format_false"), F.count_if(~F.col("content_verified")).alias("content_false"), F.count_if("no_weighting").alias("no_weighting"),
+    return repaired(spark, sf).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("format_verified").isNull()).alias("format_false"), F.count_if(~F.col("content_verified")).alias("content_false"), F.count_if("no_weighting").alias("no_weighting"),
     )
 
 
 @registered
 def failed_docs(spark, sf):
-    return processed(spark, sf).where(J.failed(F.col("format_verified"), F.col("content_verified"))).select("event_id")
+    return repaired(spark, sf).where(J.failed(F.col("format_verified"), F.col("content_verified"))).select("event_id")
+
+
+@registered
+def remove_failed(spark, sf):
+    """The next version of the documents without the failed ones."""
+    return repaired(spark, sf).where(~J.failed(F.col("format_verified"), F.col("content_verified"))).select("event_id", "no_weighting")
+
+
+@registered
+def top100_process(spark, sf):
+    return replies(spark, sf).select("event_id", J.top100(F.col("answer")).alias("t")).select("event_id", "t.*")
 
 
 @registered
 def top100_verify(spark, sf):
-    return replies(spark, sf).select("event_id", J.verify_matches(F.col("answer")).alias("valid"), J.verify_matches(F.col("answer"), True).alias("strict"))
+    answer = J.clean_initial(F.col("answer"))
+    return replies(spark, sf).select("event_id", answer.alias("a")).select("event_id", J.verify_matches(F.col("a")).alias("valid"), J.verify_matches(F.col("a"), True).alias("strict"))
 
 
 # Weight maps and pooling
 
 
 def grids(spark, sf):
-    return with_cells(spark, sf).where("event_id % 20 = 3").select("event_id", J.patch_grid(F.col("cells")).alias("cells"))
+    return with_cells(spark, sf).select("event_id", J.patch_grid(F.col("cells")).alias("cells"))
+
+
+def map_rows(maps, width):
+    return attention.cells_of(maps, "event_id", "map", width).select("event_id", "y", "x", r6(F.col("w")).alias("w"))
 
 
 @registered
 def grid_map_sharp(spark, sf):
-    return attention.sharp_map(grids(spark, sf), "event_id", "cells", 4, 6, 10).select("event_id", "y", "x", r6(F.col("w")).alias("w"))
+    """Maps of the patched grids; those with a further key cannot be laid out and have none."""
+    return map_rows(attention.grid_maps(grids(spark, sf), "cells", 6, 10), 10)
 
 
 @registered
 def grid_map_bilinear(spark, sf):
-    return attention.bilinear_map(grids(spark, sf), "event_id", "cells", 4, 6, 10).select("event_id", "y", "x", r6(F.col("w")).alias("w"))
+    return map_rows(attention.grid_maps(grids(spark, sf), "cells", 6, 10, True), 10)
 
 
 @registered
 def point_map_rbf(spark, sf):
-    rows = replies(spark, sf).where("event_id % 20 = 3").select("event_id", F.explode(J.patch_points(J.points(F.col("points")))).alias("p"))
-    rows = rows.select("event_id", F.col("p.center")[0].alias("px"), F.col("p.center")[1].alias("py"), F.col("p.weight").alias("weight"))
-    return attention.point_map(rows, "event_id", 4, 4).select("event_id", "y", "x", r6(F.col("w")).alias("w"))
+    rows = replies(spark, sf).select("event_id", attention.valid_points(J.points(F.col("points"))).alias("p"))
+    return map_rows(rows.select("event_id", attention.point_map(F.col("p"), 4, 4).alias("map")), 4)
 
 
-def feature_cells(spark, sf):
-    return vectors.long_form(X.table(spark, sf, "embeddings"), "vec_id", "embedding", 4, 4)
+@registered
+def attention_resize(spark, sf):
+    """Maps of 2 x 3 brought to 4 x 5."""
+    rows = X.built(spark, sf, "events", "event_id")
+    values = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.pmod(F.col("event_id") * 7 + i * 3, F.lit(21)) / F.lit(10.0))
+    rows = rows.select("event_id", values.alias("v")).select("event_id", attention.resized(F.col("v"), (2, 3), 4, 5).alias("map"))
+    return map_rows(rows, 5)
 
 
-def feature_weights(cells):
-    w = F.least(F.pmod(F.col("vec_id") * 7 + F.col("y") * 4 + F.col("x"), F.lit(25)) / F.lit(10.0), F.lit(2.0))
-    return cells.where("c = 0").select("vec_id", "y", "x", w.alias("w"))
+@registered
+def attention_dispatch(spark, sf):
+    """Queries with their annotations, if they have one: which way the attention goes, and the mean of its map."""
+    rows = X.built(spark, sf, "events", "event_id", text=X.DOCUMENT)
+    queries = rows.select("event_id", F.concat(F.lit("q"), F.col("event_id").cast("string"), F.lit(".jpg")).alias("basename"), F.when(F.col("event_id") % 4 == 0, 0.0).otherwise(0.5).alias("ratio"))
+    notes = rows.where("event_id % 3 <> 2").select(F.concat(F.lit("q"), F.col("event_id").cast("string"), F.lit(".json")).alias("filename"), "text")
+    out = attention.dispatched(attention.annotated(queries, notes), 4, 4, F.col("ratio"))
+    mean = F.aggregate("attention", F.lit(0.0), lambda s, x: s + x) / 16
+    return out.select("event_id", "attention_status", r6(mean).alias("mean"))
+
+
+def feature_maps(spark, sf):
+    return X.spread(X.table(spark, sf, "embeddings").select("vec_id", "embedding"))
+
+
+def with_attention(rows):
+    w = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.least(F.pmod(F.col("vec_id") * 7 + i, F.lit(25)) / F.lit(10.0), F.lit(2.0)))
+    return rows.withColumn("attention", w)
+
+
+def channels(pooled):
+    return pooled.select(*[c for c in pooled.columns if c != "pooled"], F.posexplode("pooled").alias("c", "g"))
 
 
 @registered
 def gem_standard(spark, sf):
-    return vectors.gem(feature_cells(spark, sf), "vec_id").select("vec_id", "c", r6(F.col("g")).alias("g"))
+    return channels(vectors.pooled(feature_maps(spark, sf), "vec_id", "embedding", (4, 4, 4))).select("vec_id", "c", r6(F.col("g")).alias("g"))
 
 
 @registered
 def gem_weighted(spark, sf):
-    cells = feature_cells(spark, sf)
-    return vectors.weighted_gem(cells, feature_weights(cells), "vec_id", F.lit(0.5)).select("vec_id", "c", r6(F.col("g")).alias("g"))
+    rows = with_attention(feature_maps(spark, sf)).withColumn("alpha", F.lit(0.5))
+    return channels(vectors.pooled(rows, "vec_id", "embedding", (4, 4, 4), "attention", "alpha")).select("vec_id", "c", r6(F.col("g")).alias("g"))
 
 
 @registered
 def alpha_sweep(spark, sf):
     """One job for all ratios."""
-    cells = feature_cells(spark, sf)
-    swept = cells.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (0.0, 0.5, 1.0)])))
-    return vectors.weighted_gem(swept, feature_weights(cells), "vec_id", F.col("alpha")).groupBy("alpha").agg(F.round(F.avg("g"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+    rows = with_attention(feature_maps(spark, sf)).withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (0.0, 0.5, 1.0)])))
+    swept = channels(vectors.pooled(rows, "vec_id", "embedding", (4, 4, 4), "attention", "alpha"))
+    return swept.groupBy("alpha").agg(F.round(F.avg("g"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@registered
+def linear_projection(spark, sf):
+    """A last layer of 8 x 64 with a bias."""
+    matrix = np.array([[((o * 7 + i * 3) % 11 - 5) / 10 for i in range(64)] for o in range(8)])
+    out = vectors.projected(feature_maps(spark, sf), "vec_id", "embedding", matrix, np.arange(8) / 4)
+    return out.select("vec_id", F.posexplode("features").alias("pos", "x")).select("vec_id", "pos", F.round("x", 5).alias("x"))
+
+
+@registered
+def feature_dimensions(spark, sf):
+    """Declared dimensions of backbones by their tables, and the features' own."""
+    rows = X.table(spark, sf, "embeddings").select("vec_id", "embedding", F.get(F.array(*map(F.lit, ("ResNet18", "VGG16", "EfficientNet-B3", "ViT"))), (F.col("vec_id") % 4).cast("int")).alias("b"))
+    quick = sizes.dimension(F.col("b"), sizes.COSPLACE, None)
+    return rows.select("vec_id", sizes.dimension(F.col("b"), sizes.COSPLACE).alias("cosplace"), sizes.dimension(F.col("b"), sizes.EIGENPLACES).alias("eigenplaces"), sizes.dimension(F.col("b"), sizes.ATTENTION).alias("attention"), sizes.feature_dimension(quick, F.col("embedding")).alias("dimension"))
+
+
+@registered
+def input_normalise(spark, sf):
+    """Three channels of values against the ImageNet statistics."""
+    rows = X.table(spark, sf, "embeddings").select("vec_id", "embedding", F.explode(F.array(*map(F.lit, range(3)))).alias("channel"))
+    out = rows.select("vec_id", "channel", F.posexplode(sizes.normalised(F.slice("embedding", 1, 8), F.col("channel"))).alias("pos", "x"))
+    return out.select("vec_id", "channel", "pos", r6(F.col("x")).alias("x"))
+
+
+@registered
+def image_sizes(spark, sf):
+    """Sizes after each of the resizing steps, for images of part-key dimensions."""
+    w, h = (F.col("p_partkey") * 37 % 3000 + 1).cast("int"), (F.col("p_partkey") * 91 % 2200 + 1).cast("int")
+    model = F.when(F.col("p_partkey") % 2 == 0, "Cosplace").otherwise("NetVLAD")
+    steps = {"resize": sizes.resize_size(w, h), "ruler": sizes.ruler_size(w, h), "thumb": sizes.thumbnail_size(w, h), "input": sizes.input_size(model, w, h)}
+    rows = X.table(spark, sf, "part").select("p_partkey", *[c.alias(n) for n, c in steps.items()])
+    return rows.select("p_partkey", *[F.col(f"{n}.{d}").alias(f"{n}_{d}") for n in steps for d in ("width", "height")])
+
+
+@registered
+def ruler_ticks(spark, sf):
+    rows = X.table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 7).cast("int").alias("grid"))
+    return rows.select("p_partkey", sizes.grid_lines(F.col("grid")).alias("lines"), F.posexplode(sizes.ticks(F.col("grid"))).alias("i", "tick")).withColumn("tick", r6(F.col("tick")))
 
 
 # Ledgers
@@ -352,9 +458,207 @@ def eta_duration(spark, sf):
     return X.table(spark, sf, "part").select("p_partkey", human_duration((F.col("p_partkey") * 13).cast("double")).alias("eta"))
 
 
+def named_orders(spark, sf):
+    return X.table(spark, sf, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("item"), "o_orderkey", "o_orderstatus")
+
+
+@registered
+def outputs_synced(spark, sf):
+    """Items whose annotation file is there."""
+    rows = named_orders(spark, sf)
+    made = rows.where("o_orderstatus = 'F'").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string"), F.lit(".json")).alias("output"))
+    return ledger.with_output(rows.select("item"), made)
+
+
+@registered
+def result_keys(spark, sf):
+    """Items that are keys of the consolidated results."""
+    rows = named_orders(spark, sf)
+    maps = rows.where("o_orderkey % 3 = 0").select(F.create_map("item", F.lit("x")).alias("results"))
+    return ledger.keyed_in(rows.select("item"), maps)
+
+
+@registered
+def rerank_tasks(spark, sf):
+    """Queries without an answer yet, with the paths of their first candidates."""
+    q, t = X.vectors(spark, sf)
+    name = lambda c: F.concat(F.lit("v"), F.col(c).cast("string"), F.lit(".jpg"))
+    found = vectors.knn(q, t, K).select(name("query").alias("query"), "rank", name("target").alias("target"))
+    items = X.table(spark, sf, "embeddings").select(name("vec_id").alias("item"))
+    out = ledger.rerank_tasks(items, found, items.where("item like '%50.jpg'"), "/db", 5)
+    return out.select("item", F.array_join("candidates", ";").alias("candidates"))
+
+
+@registered
+def status_counts(spark, sf):
+    rows = order_items(spark, sf).select("item", F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "P", "failed").alias("status"))
+    return ledger.status_counts(rows)
+
+
+def event_shards(spark, sf):
+    return X.table(spark, sf, "events").groupBy(F.floor(F.col("event_id") / 10).alias("shard")).agg((F.count(F.lit(1)) * 9_000_000).alias("bytes"), F.count_if(F.col("event_id") % 10 < F.col("event_id") % 13).alias("rows"))
+
+
+@registered
+def size_plan(spark, sf):
+    return ledger.size_plan(event_shards(spark, sf)).withColumn("gib", r6(F.col("gib")))
+
+
+@registered
+def chunk_ranges(spark, sf):
+    return ledger.chunk_ranges(event_shards(spark, sf), 7)
+
+
+@registered
+def missing_shards(spark, sf):
+    rows = event_shards(spark, sf)
+    found = rows.where("shard % 9 <> 4").select("shard", F.when(F.col("shard") % 5 == 2, 0).otherwise(F.col("rows")).alias("rows"))
+    return ledger.missing_shards(rows.select("shard"), found)
+
+
+@registered
+def feature_cache(spark, sf):
+    """Paths whose features are not cached."""
+    rows = X.table(spark, sf, "customer").select(F.concat(F.lit("/db/"), F.col("c_custkey").cast("string"), F.lit(".jpg")).alias("path"), "c_custkey")
+    return ledger.to_extract(rows.select("path"), rows.where("c_custkey % 4 <> 1").select("path"))
+
+
+@registered
+def feature_count_check(spark, sf):
+    rows = X.table(spark, sf, "embeddings")
+    return ledger.verified(rows.where("label <> 3"), rows)
+
+
+@registered
+def checkpoint_summary(spark, sf):
+    lines = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").cast("long").alias("line"), "l_partkey", F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"))
+    return ledger.checkpoint_info(lines.select("item", (F.col("line") * 1000000000 + F.col("l_partkey")).alias("attempt"), "status"))
+
+
+@registered
+def path_order(spark, sf):
+    """Positions of suppliers in the order of their keys."""
+    return ledger.ranked(X.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 64)
+
+
 # Conversations and prompts
 
 
+def catalogue(spark, sf):
+    return X.table(spark, sf, "benchmark").select(F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), F.concat(F.lit("Prompt_"), F.col("item_id").cast("string")).alias("name"), "text")
+
+
+@registered
+def prompt_categories(spark, sf):
+    return prompts.categories(catalogue(spark, sf))
+
+
+@registered
+def prompt_listing(spark, sf):
+    return prompts.listed(catalogue(spark, sf), "c1")
+
+
+@registered
+def prompt_upsert(spark, sf):
+    more = catalogue(spark, sf).where("name like '%1'").select("category", "name", F.concat(F.lit("  new "), "name", F.lit("\n")).alias("text"))
+    fresh = more.select(F.lit("c9").alias("category"), "name", "text")
+    return prompts.added(catalogue(spark, sf), more.unionByName(fresh))
+
+
+@registered
+def prompt_filled(spark, sf):
+    rows = X.table(spark, sf, "nation").select("n_nationkey", F.lit("  Find {city} in {region}; keep {braces}. ").alias("t"), "n_name", "n_regionkey")
+    return rows.select("n_nationkey", prompts.filled(F.col("t"), {"city": F.col("n_name"), "region": F.col("n_regionkey")}).alias("prompt"))
+
+
+@registered
+def first_candidate(spark, sf):
+    """Each annotation's image: the first of its candidate names that is there."""
+    name = lambda s: F.concat(F.lit("i"), F.col("c_custkey").cast("string"), F.lit(s))
+    rows = X.table(spark, sf, "customer")
+    there = rows.where("c_custkey % 2 = 0").select(name(".png").alias("image")).unionByName(rows.where("c_custkey % 3 = 0").select(name(".jpg").alias("image"))).unionByName(rows.where("c_custkey % 5 <> 0").select(name(".jpeg").alias("image")))
+    return P.first_present(rows.select(name(".json").alias("annotation")), there)
+
+
+@registered
+def distance_matrix(spark, sf):
+    """Distances of the queries whose key is divisible by 50 to all targets."""
+    q, t = X.places(spark, sf)
+    return L.distance_matrix(q.where("query % 50 = 0"), t).select("query", "target", F.round("distance_m", 3).alias("distance_m"))
+
+
+@registered
+def available_ks(spark, sf):
+    return L.available_ks(success_at_k(spark, sf)).select("queries", F.array_join("ks", ",").alias("ks"))
+
+
+@registered
+def failure_split(spark, sf):
+    return L.split_by_success(success_at_k(spark, sf))
+
+
+@registered
+def result_hits(spark, sf):
+    return L.hits(*retrieval_and_truth(spark, sf))
+
+
+@registered
+def message_parts_converted(spark, sf):
+    """Conversations as messages with text and images, in the other API's form."""
+    image = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("data:image/jpeg;base64,"), F.hex("conv_id"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("https://x/"), F.col("conv_id").cast("string")))
+    part = lambda kind, text, url: F.struct(F.lit(kind).alias("type"), text.alias("text"), url.alias("url"))
+    none = F.lit(None).cast("string")
+    content = F.array_compact(F.array(F.when(image.isNotNull() & (F.col("role") == "user"), part("image_url", none, image)), part("text", F.col("text"), none)))
+    rows = X.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", content.alias("content")))).alias("m"))
+    out = rows.select("conv_id", F.posexplode(prompts.converted(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))))).alias("pos", "m"))
+    return out.select("conv_id", "pos", F.col("m.role").alias("role"), F.posexplode("m.parts").alias("part", "p")).select("conv_id", "pos", "role", "part", "p.kind", "p.value")
+
+
+def user_turns(spark, sf):
+    return X.spread(X.table(spark, sf, "conversations").where("role = 'user'").select(F.col("conv_id").alias("conversation"), "turn", F.col("text").alias("prompt")))
+
+
+@registered
+def chat_fold(spark, sf):
+    """A chat per conversation with a stand-in model; prompts leave the history again, replies stay."""
+    return agents.chatted(user_turns(spark, sf), "stub", agents.stub_chat, "You see images.").select("conversation", "turn", "reply")
+
+
+@registered
+def chat_with_history(spark, sf):
+    """The same with prompts kept."""
+    return agents.chatted(user_turns(spark, sf), "stub", agents.stub_chat, keep_prompts=True).select("conversation", "turn", "reply")
+
+
+@registered
+def image_analysis(spark, sf):
+    """Two prompts about each image; the last reply counts."""
+    rows = X.built(spark, sf, "supplier", "s_suppkey").select(F.col("s_suppkey").cast("string").alias("item"), F.lit("file:///x.jpg").alias("url"))
+    return agents.analysed(rows, "stub", agents.stub_chat, ["What is it?", "Weights?"]).select("item", "response")
+
+
+@registered
+def generated_images(spark, sf):
+    """Names of the images that two prompts give; null images keep their numbers."""
+    rows = X.built(spark, sf, "supplier", "s_suppkey").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("item"), F.lit("x").alias("url"))
+    out = agents.generated(rows, "draw", agents.stub_draw(), ["flood", "night"])
+    return out.select("item", "index", images.generated_name(F.col("item"), F.col("index")).alias("name"), agents.image_name(F.col("item"), F.col("index"), F.col("image")).alias("kept"))
+
+
+@registered
+def history_round_trip(spark, sf):
+    """Histories saved as JSON and read again."""
+    rows = X.table(spark, sf, "conversations").select(F.col("conv_id").alias("conversation"), "turn", "role", F.col("text").alias("content"))
+    return agents.loaded_history(agents.history_json(rows))
+
+
+@registered
+def usage_report(spark, sf):
+    """The usage text of all conversations together."""
+    total = usage_rollup(spark, sf).agg(*[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "thinking_tokens", "total_tokens", "api_calls")])
+    return images.usage_lines(total)
+
+
 @registered
 def usage_rollup(spark, sf):
     words = F.size(F.filter(F.split(F.trim(F.col("text")), r"[ \t\n\r\f\v]+"), lambda w: w != "")).cast("long")
@@ -386,8 +690,7 @@ def marker_parts(spark, sf):
 
 @registered
 def prompt_search(spark, sf):
-    rows = X.table(spark, sf, "benchmark").select(F.concat(F.lit("c"), (F.col("item_id") % 3).cast("string")).alias("category"), F.concat(F.lit("Prompt_"), F.col("item_id").cast("string")).alias("name"), "text")
-    return prompts.search(rows, "PROMPT_1")
+    return prompts.search(catalogue(spark, sf), "PROMPT_1")
 
 
 @registered
@@ -406,21 +709,30 @@ def rate_audit(spark, sf):
     return incremental.rate_audit(X.table(spark, sf, "events"), "ts", 2)
 
 
+@registered
+def rate_spacing(spark, sf):
+    """Each user's calls that follow the one before too closely."""
+    return incremental.spacing(X.table(spark, sf, "events"), "ts", "user_id", 20).groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("early").alias("early"))
+
+
+@registered
+def rate_paced(spark, sf):
+    """When a limiter of one call a minute lets each user's calls start."""
+    return incremental.paced(X.table(spark, sf, "events"), "ts", "user_id", 1)
+
+
 @registered
 def streaming_equals_batch(spark, sf):
     """Events drained as a file stream, counted: the same as the batch."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    made = None if folder else tempfile.mkdtemp(prefix="placegrid-")
-    base = f"{folder or 'file://' + made}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**9}-{id(spark)}-{len(_runs)}"
-    _runs.append(base)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = f"{folder or 'file://' + tempfile.mkdtemp(prefix='placegrid-')}/stream-{uuid.uuid4().hex}"
     rows = X.table(spark, sf, "events")
     rows.write.mode("overwrite").parquet(f"{base}/in")
     incremental.drained(incremental.increments(spark, f"{base}/in", rows.schema), f"{base}/out", f"{base}/checkpoint")
     return spark.read.schema(rows.schema).parquet(f"{base}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
 
 
-_runs: list[str] = []
-
-
 def queries() -> dict[str, Query]:
     return dict(QUERIES)

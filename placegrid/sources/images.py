@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 from placegrid.functions.jsonclean import kind
-from placegrid.functions.paths import ANNOTATION, basename, has_suffix
+from placegrid.functions.paths import ANNOTATION, basename, has_suffix, stem
 
 
 def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ANNOTATION, any_case: bool = True, content: bool = False) -> DataFrame:
@@ -63,3 +69,83 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def generated_name(base: Column, index: Column) -> Column:
     return F.concat(base, F.lit("_generated_"), index.cast("string"), F.lit(".png"))
+
+
+def sorted_scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ANNOTATION, any_case: bool = True) -> DataFrame:
+    """path, basename in the order of paths."""
+    return scan(spark, folder, suffixes, any_case).orderBy("path")
+
+
+def put_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Write rows (name, content: binary) as one file each into a folder of any URI; name, bytes of what was written.
+
+    Files of a repeated attempt replace those before, as names come with the rows. Names must be distinct.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"name": b["name"], "bytes": b["content"].map(len)})
+
+    written = rows.where("content is not null").select("name", "content").mapInPandas(run, "name string, bytes long")
+    written.cache().count()  # once; later uses of the list write nothing
+    return written
+
+
+def annotation_files(rows: DataFrame) -> DataFrame:
+    """name, content of annotation documents: <stem>.json, two spaces of indentation, non-ASCII kept.
+
+    ``rows``: image_path, model, format_verified, content_verified, no_weighting, result (JSON, or a text that is none).
+    """
+
+    @F.pandas_udf("string")
+    def pretty(path: pd.Series, model: pd.Series, right: pd.Series, content: pd.Series, none: pd.Series, result: pd.Series) -> pd.Series:
+        def one(p, m, r, c, n, x):
+            try:
+                value = None if x is None else json.loads(x)
+            except ValueError:
+                value = x
+            whole = {"image_path": p, "model": m, "json_format_verified": bool(r), "json_content_verified": bool(c), "no_weighting": bool(n), "result": value}
+            return json.dumps(whole, indent=2, ensure_ascii=False)
+
+        return pd.Series([one(*x) for x in zip(path, model, right, content, none, result, strict=True)])
+
+    text = pretty("image_path", "model", "format_verified", "content_verified", "no_weighting", "result")
+    return rows.select(F.concat(stem(basename(F.col("image_path"))), F.lit(".json")).alias("name"), text.cast("binary").alias("content"))
+
+
+def individual_csv(results: DataFrame, path: str) -> None:
+    """The per-query results (of ``individual_results``) under the names of their CSV."""
+    names = {"query": "query_path", "num_predicted": "num_predicted_paths", "num_gt": "num_gt_paths", "predicted": "predicted_paths", "gt": "gt_paths"}
+    write_csv(results.withColumnsRenamed(names), path)
+
+
+def timing_csv(rows: DataFrame, path: str) -> None:
+    """filename, processing_time (seconds, three decimals)."""
+    write_csv(rows.select("filename", F.round("processing_time", 3).alias("processing_time")), path)
+
+
+def usage_lines(usage: DataFrame) -> DataFrame:
+    """line: "key: value" of a one-row usage table, in the order of its columns."""
+    cells = F.array(*[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in usage.columns])
+    return usage.select(F.explode(cells).alias("line"))
+
+
+def usage_text(usage: DataFrame, folder: str, stamp: str) -> None:
+    """The usage lines as text under a folder named by a time stamp."""
+    usage_lines(usage).coalesce(1).write.mode("errorifexists").text(f"{folder.rstrip('/')}/usage_{stamp}")
+
+
+def feature_table(shards: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
+    """Feature rows (path, features) of all shards as one Parquet dataset; files are bounded, nothing is concatenated."""
+    shards.select("path", "features").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).parquet(path)
+
+
+def serialised(rows: DataFrame, column: str) -> Column:
+    """A column of any type as JSON text, arrays in full."""
+    kind_ = rows.schema[column].dataType
+    return F.to_json(column) if isinstance(kind_, (ArrayType, MapType, StructType)) else F.col(column).cast("string")

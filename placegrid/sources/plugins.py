@@ -7,19 +7,26 @@ an error in its own row and never spoils its batch: after a failed batch the inp
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from placegrid.sources.agents import worker
+
 Model = Callable[[list[bytes]], list[list[float]]]
 
 
-def inferred(images: DataFrame, load: Callable[[], Model], batch: int = 32) -> DataFrame:
-    """path, features, error for rows (path, content)."""
+def inferred(images: DataFrame, load: Callable[[], Model], batch: int = 32, name: str | None = None) -> DataFrame:
+    """path, features, error for rows (path, content). ``name`` tells models apart; each is loaded once a worker.
+
+    A batch that fails for want of memory is halved until it fits; other errors are laid to single inputs.
+    """
+    name = name or f"model-{uuid.uuid4().hex}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = load()
+        model = worker(name, load)
 
         def one(content: bytes) -> tuple[list[float] | None, str | None]:
             try:
@@ -27,15 +34,20 @@ def inferred(images: DataFrame, load: Callable[[], Model], batch: int = 32) -> D
             except Exception as e:  # noqa: BLE001
                 return None, repr(e)
 
+        def several(contents: list[bytes]) -> list[tuple[list[float] | None, str | None]]:
+            try:
+                return [(f, None) for f in model(contents)]
+            except Exception as e:  # noqa: BLE001
+                if len(contents) > 1 and (isinstance(e, MemoryError) or "out of memory" in str(e).lower()):
+                    half = len(contents) // 2
+                    return several(contents[:half]) + several(contents[half:])
+                return [one(c) for c in contents]
+
         for b in batches:
             rows = []
             for at in range(0, len(b), batch):
                 part = b.iloc[at : at + batch]
-                try:
-                    got = [(f, None) for f in model(list(part["content"]))]
-                except Exception:  # noqa: BLE001
-                    got = [one(c) for c in part["content"]]
-                rows += [(p, *g) for p, g in zip(part["path"], got, strict=True)]
+                rows += [(p, *g) for p, g in zip(part["path"], several(list(part["content"])), strict=True)]
             yield pd.DataFrame(rows, columns=["path", "features", "error"])
 
     return images.select("path", "content").mapInPandas(run, "path string, features array<float>, error string")

@@ -38,14 +38,40 @@ def test_clean_initial(spark):
 
 
 def test_patch_grid(spark):
-    [got] = evaluated(spark, J.patch_grid(J.as_map(F.col("v"))), ['{"A1":3,"B2":"x","C3":-1,"D4":true,"Z9":5}'])
-    assert got["A1"] == 2 and got["B2"] == 1 and got["C3"] == 0 and got["D4"] == 1 and len(got) == 16
+    [got] = evaluated(spark, J.patch_grid(J.as_map(F.col("v"))), ['{"A1":3,"B2":"x","C3":-1,"D4":true,"Z9":5,"note":"n"}'])
+    assert {k: float(got[k]) for k in ("A1", "B2", "C3", "D4")} == {"A1": 2, "B2": 1, "C3": 0, "D4": 1}
+    assert len(got) == 18 and got["Z9"] == "5" and got["note"] == "n"
 
 
 def test_patched_grid_verifies(spark):
     patched = J.patch_grid(J.as_map(F.col("v")))
-    as_text = F.transform_values(patched, lambda k, v: v.cast("string"))
-    assert all(evaluated(spark, J.verify_grid(as_text), ['{"A1":3}', "{}", '{"A1":"NaN"}']))
+    assert all(evaluated(spark, J.verify_grid(patched), ['{"A1":3}', "{}", '{"A1":"NaN"}', None]))
+
+
+def test_a_number_is_no_reason(spark):
+    texts = ['[{"center":[0.5,0.5],"weight":1,"reasoning":7}]', '[{"center":[0.5,0.5],"weight":1,"reasoning":"7"}]', '[{"center":[0.5,0.5],"weight":1,"reasoning":null}]']
+    assert evaluated(spark, J.verify_points(J.points(F.col("v"))), texts) == [False, True, False]
+    assert [len(p) for p in evaluated(spark, J.patch_points(J.points(F.col("v"))), texts)] == [0, 1, 0]
+
+
+def test_repair(spark):
+    texts = [
+        '{"result":{"A1":3}}', '{"result":[{"center":[2,0],"weight":1,"reasoning":"r"},5]}', '{"result":[5]}', '{"result":null,"no_weighting":true}', '{"result":null}',
+        '{"result":"```json[]```"}', "[1]", "no", None, '{"result":"sorry"}', '{"no_weighting":true}',
+    ]
+    rows = J.repaired(spark.createDataFrame(list(enumerate(texts)), "i int, text string")).orderBy("i").collect()
+    assert [(r["format_verified"], r["content_verified"], r["no_weighting"]) for r in rows] == [
+        (True, True, False), (True, True, False), (True, False, False), (True, True, True), (None, None, False), (True, False, False), (None, None, False), (None, None, False), (None, None, False),
+        (None, None, False), (True, True, True),
+    ]
+
+
+def test_saved_responses(spark):
+    assert [tuple(r) for r in evaluated(spark, J.saved_response(F.col("v"), 1), ['x {"A1": 1}', '{"A1": 3}', "none", "sorry"])] == [
+        ('{"A1": 1}', True, True, False), ('{"A1": 3}', True, False, False), (None, True, True, True), ("sorry", False, False, False),
+    ]
+    with pytest.raises(ValueError, match="invalid grid"):
+        J.saved_response(F.col("v"), -1)
 
 
 def test_points(spark):

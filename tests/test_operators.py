@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from placegrid.operators import attention, ledger, vectors
 from placegrid.operators import places as L
-from placegrid.sources import images, plugins
+from placegrid.sources import agents, images, plugins
 from placegrid.streaming import incremental
 
 
@@ -57,14 +57,53 @@ def test_expansion(spark):
         vectors.expanded(q, t, lost).collect()
 
 
-def test_weighted_gem_with_alpha_zero_is_plain(spark):
-    rows = spark.createDataFrame([(1, [float(i % 7) / 7 for i in range(64)])], "id long, v array<float>")
-    cells = vectors.long_form(rows, "id", "v", 4, 4)
-    even = cells.where("c = 0").select("id", "y", "x", F.lit(1.0).alias("w"))
-    plain = {r["c"]: r["g"] for r in vectors.gem(cells, "id").collect()}
-    for alpha in (0.0, 1.0):
-        got = {r["c"]: r["g"] for r in vectors.weighted_gem(cells, even, "id", F.lit(alpha)).collect()}
-        assert all(abs(got[c] - plain[c]) < 1e-5 for c in plain)
+def scalar_gem(v, w, alpha, shape, p=3.0, eps=1e-6):
+    c, h, k = shape
+    x = [[max(v[i * h * k + j], eps) ** p for j in range(h * k)] for i in range(c)]
+    if w is None or alpha <= 1e-6:
+        return [(sum(r) / (h * k)) ** (1 / p) for r in x]
+    contrib = [max(sum(x[i][j] for i in range(c)) / (h * k + eps), eps) ** (1 / p) for j in range(h * k)]
+    mean = sum(contrib) / len(contrib) + eps
+    final = [q / mean + alpha * (a - q / mean) for q, a in zip(contrib, w, strict=True)]
+    return [(sum(f * q for f, q in zip(final, r, strict=True)) / (sum(final) + eps)) ** (1 / p) for r in x]
+
+
+def test_pooling_matches_a_scalar_version(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.random(24).tolist(), None if i == 3 else (rng.random(12) * 2).tolist(), alpha) for i, alpha in enumerate((0.0, 0.5, 1.0, 0.7))]
+    rows += [(9, None, None, 0.5), (10, [1.0], None, 0.5)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, w array<double>, alpha double")
+    got = {r["id"]: r["pooled"] for r in vectors.pooled(df, "id", "v", (2, 3, 4), "w", "alpha").collect()}
+    assert got[9] is None and got[10] is None
+    for i, v, w, alpha in rows[:4]:
+        assert np.allclose(got[i], scalar_gem(v, w, alpha, (2, 3, 4)))
+    plain = {r["id"]: r["pooled"] for r in vectors.pooled(df.select("id", "v"), "id", "v", (2, 3, 4)).collect()}
+    assert np.allclose(plain[1], scalar_gem(rows[1][1], None, 0, (2, 3, 4)))
+
+
+def test_rows_a_search_leaves_out(spark, points):
+    q, t = frames(spark, points)
+    bad = spark.createDataFrame([(1000, [float("nan")] * 8), (1001, None), (1002, [1.0])], "target long, features array<float>")
+    both = t.unionByName(bad)
+    assert vectors.knn(q, both, 4, size=8).count() == 60
+    assert {tuple(r) for r in vectors.unusable(both, "target", "features", 8).collect()} == {(1000, "nan"), (1001, "null"), (1002, "length")}
+
+
+def test_radius_join_around_the_globe(spark):
+    rng = np.random.default_rng(2)
+    base = [(0, 179.999), (0, -179.999), (89.99, 10), (89.99, -170), (-60, 0), (70, 180), (45, -180), (-89.9999, 55)]
+    place = [(float(np.clip(a + rng.normal(0, 0.003), -90, 90)), float((b + rng.normal(0, 0.006 / max(math.cos(math.radians(a)), 1e-3)) + 180) % 360 - 180)) for a, b in base for _ in range(8)]
+    q = spark.createDataFrame([(i, *p) for i, p in enumerate(place)], "query long, lat double, lon double")
+    t = q.withColumnRenamed("query", "target")
+
+    def metres(p, r):
+        h = math.sin(math.radians(r[0] - p[0]) / 2) ** 2 + math.cos(math.radians(p[0])) * math.cos(math.radians(r[0])) * math.sin(math.radians(r[1] - p[1]) / 2) ** 2
+        return 2 * 6371000 * math.asin(math.sqrt(h))
+
+    for radius in (150.0, 900.0, 500000.0):
+        want = {(i, j) for i, p in enumerate(place) for j, r in enumerate(place) if metres(p, r) <= radius}
+        got = [tuple(r) for r in L.radius_join(q, t, radius).select("query", "target").collect()]
+        assert len(got) == len(want) and set(got) == want
 
 
 def test_radius_join_matches_brute_force(spark):
@@ -91,16 +130,122 @@ def test_success(spark):
     assert [r["metric"] for r in none] == ["error"]
 
 
+def maps(spark, texts, ratio=1.0, **options):
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    return [(r["attention_status"], r["attention"]) for r in attention.dispatched(rows, 4, 4, F.lit(ratio), **options).orderBy("id").collect()]
+
+
+def test_dispatch(spark):
+    grid = '{"A1":3,"A2":1,"b1":0.5,"B2":"x"}'
+    texts = [grid, f'{{"result":{grid}}}', '{"A1":1,"A2":1,"B1":1}', '{"A1":1,"A2":1,"B1":1,"note":2}', '{"result":"[]"}', '{"result":null}', None, "no", "[]", "{}", '{"result":[{"center":[0.5,0.5],"weight":1.5},{"center":[0],"weight":1},{"center":[0,0],"weight":null}]}', "7"]
+    got = maps(spark, texts)
+    assert [s for s, _ in got] == ["grid", "grid", "fallback", "fallback", "plain", "plain", "plain", "plain", "points", "grid", "points", "plain"]
+    assert got[0][1] == got[1][1] == [2, 2, 1, 1] * 2 + [0.5, 0.5, 1, 1] * 2
+    assert got[8][1] == got[9][1] == [1] * 16 and np.allclose(got[10][1], 1.5) and got[2][1] is None
+    assert {s for s, _ in maps(spark, texts, 1e-7)} == {"plain"}
+    smooth = np.array(maps(spark, [grid], interpolate=True)[0][1]).reshape(4, 4)
+    assert np.allclose(smooth[0], [2, 1.75, 1.25, 1]) and np.allclose(smooth[:, 0], [2, 1.625, 0.875, 0.5])
+
+
 def test_point_map_stays_within_weights(spark):
-    rows = spark.createDataFrame([(1, 0.2, 0.3, 0.5), (1, 0.9, 0.1, 1.5)], "id long, px double, py double, weight double")
-    w = [r["w"] for r in attention.point_map(rows, "id", 5, 5).collect()]
-    assert len(w) == 25 and min(w) >= 0.5 and max(w) <= 1.5
+    [(_, w)] = maps(spark, ['[{"center":[0.2,0.3],"weight":0.5},{"center":[0.9,0.1],"weight":1.5}]'])
+    assert len(w) == 16 and min(w) >= 0.5 and max(w) <= 1.5 and max(w) - min(w) > 0.5
+
+
+def test_annotations_join_by_stem(spark):
+    q = spark.createDataFrame([("a.b.jpg",), ("c.png",)], "basename string")
+    notes = spark.createDataFrame([("a.b.json", "x"), ("z.json", "y")], "filename string, text string")
+    assert {tuple(r) for r in attention.annotated(q, notes).select("basename", "text").collect()} == {("a.b.jpg", "x"), ("c.png", None)}
 
 
-def test_sharp_map(spark):
-    rows = spark.sql("select 1L as id, map('A1', 2D) as cells")
-    got = {(r["y"], r["x"]): r["w"] for r in attention.sharp_map(rows, "id", "cells", 2, 4, 4).collect()}
-    assert all(got[y, x] == (2 if y < 2 and x < 2 else 1) for y in range(4) for x in range(4))
+def test_projection(spark):
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [1.0])], "id long, v array<double>")
+    got = {r["id"]: r["features"] for r in vectors.projected(rows, "id", "v", np.array([[1.0, 1.0], [0.0, 2.0], [1.0, -1.0]]), np.array([0.0, 1.0, 0.0])).collect()}
+    assert got == {1: [3.0, 5.0, -1.0], 2: None, 3: None}
+
+
+def test_ranks_over_many_ranges(spark):
+    ids = sorted(int(x) for x in np.random.default_rng(4).choice(100000, 500, replace=False))
+    got = ledger.ranked(spark.createDataFrame([(i,) for i in ids], "k long"), "k", 16).orderBy("k").collect()
+    assert [(r["k"], r["position"]) for r in got] == [(k, i) for i, k in enumerate(ids)]
+
+
+def test_rerank_tasks(spark):
+    items = spark.createDataFrame([("a",), ("b",), ("c",)], "item string")
+    found = spark.createDataFrame([("a", 2, "y"), ("a", 1, "x"), ("b", 1, "z")], "query string, rank int, target string")
+    done = items.where("item = 'b'")
+    tasks = ledger.rerank_tasks(items, found, done, "/r/", 100)
+    assert [tuple(r) for r in tasks.collect()] == [("a", ["/r/x", "/r/y"])]
+    out = agents.reranked(tasks, "s", agents.stub_chat, "which?").collect()
+    assert [(r["item"], r["response"], r["error"]) for r in out] == [("a", "1:6", None)]
+    with pytest.raises(Exception, match="no candidates for a"):
+        ledger.rerank_tasks(items.limit(1), found.withColumn("target", F.lit(None).cast("string")), done, "/r").collect()
+
+
+def test_chats(spark):
+    turns = spark.createDataFrame([(1, 0, "ab"), (1, 1, "abc"), (2, 0, "a"), (1, 2, None)], "conversation long, turn int, prompt string")
+    got = {(r["conversation"], r["turn"]): (r["reply"], r["error"] is None) for r in agents.chatted(turns, "s", agents.stub_chat, "sys").collect()}
+    assert got == {(1, 0): ("2:2", True), (1, 1): ("3:3", True), (2, 0): ("2:1", True), (1, 2): (None, False)}
+    talk = agents.Conversation("x")
+    talk.say("hello", ["u"], agents.stub_chat())
+    assert [m["role"] for m in talk.history] == ["system", "user", "assistant"]
+    talk.set_system("y")
+    assert talk.history == [{"role": "system", "content": "y"}]
+
+
+def test_retries_and_backoff():
+    waits, calls = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise ValueError
+        return "ok"
+
+    assert agents.retried(call, 3, waits.append) == "ok" and 0.5 <= waits[0] <= 0.75 and 1 <= waits[1] <= 1.25
+    with pytest.raises(ZeroDivisionError):
+        agents.retried(lambda: 1 // 0, 2, waits.append)
+
+
+def test_pacing(spark):
+    rows = spark.createDataFrame([(1, s) for s in (0, 1, 2, 50, 400)], "k long, s long").selectExpr("k", "timestamp_seconds(s) as ts")
+    got = [r["s"] for r in incremental.paced(rows, "ts", "k", 2).orderBy("start").selectExpr("unix_seconds(start) as s").collect()]
+    assert got == [0, 30, 60, 90, 400]
+    assert incremental.spacing(rows, "ts", "k", 2).where("early").count() == 2
+
+
+def test_checkpoints_and_caches(spark, tmp_path):
+    main, backup, schema = str(tmp_path / "main"), str(tmp_path / "backup"), "item string, status string"
+    rows = spark.createDataFrame([("a", "success")], schema)
+    assert ledger.checkpoint(spark, main, backup, schema).count() == 0
+    rows.write.parquet(backup)
+    assert ledger.checkpoint(spark, main, backup, schema).count() == 0  # without a main one it starts afresh
+    (tmp_path / "main").mkdir()
+    (tmp_path / "main" / "part.parquet").write_text("broken")
+    assert ledger.checkpoint(spark, main, backup, schema).count() == 1
+    made = []
+    for alpha in (0.5, 0.5, 1.0):
+        ledger.cached(spark, str(tmp_path / "cache"), {"alpha": alpha, "k": 5}, lambda: made.append(1) or rows).count()
+    assert len(made) == 2
+    assert ledger.chunk_size(10**6, 10.0) == 32768 and ledger.chunk_size(3, 10.0) == 3 and ledger.chunk_size(9, 0.0) == 1
+
+
+def test_named_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("/x/a.jpg", "m", True, True, False, '{"A1":1}'), ("/x/é.jpg", "m", False, False, False, "sorry é"), ("/x/n.png", "m", True, True, True, None)], "image_path string, model string, format_verified boolean, content_verified boolean, no_weighting boolean, result string")
+    written = images.put_files(images.annotation_files(rows), f"file://{tmp_path}/notes")
+    assert {r["name"] for r in written.collect()} == {"a.json", "é.json", "n.json"}
+    import json
+
+    text = (tmp_path / "notes" / "é.json").read_text()
+    assert json.loads((tmp_path / "notes" / "a.json").read_text())["result"] == {"A1": 1} and "sorry é" in text and text.startswith('{\n  "image_path"')
+    usage = spark.createDataFrame([(5, 2)], "prompt_tokens long, api_calls long")
+    images.usage_text(usage, str(tmp_path), "t1")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "usage_t1")).collect()] == ["prompt_tokens: 5", "api_calls: 2"]
+    images.timing_csv(spark.createDataFrame([("a", 1.23456)], "filename string, processing_time double"), str(tmp_path / "t"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "t")).first().asDict() == {"filename": "a", "processing_time": "1.235"}
+    shards = spark.createDataFrame([("a", [1.0]), ("b", [2.0])], "path string, features array<float>")
+    images.feature_table(shards, str(tmp_path / "f"), 1)
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 2
 
 
 def test_resume_and_retry(spark):
