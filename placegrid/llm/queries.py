@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import byte_suffixes, fingerprints, packing, pieces, quality_classifier, quality_rules, simhash, toxicity, warc, word_blocks
+from placegrid.llm import byte_suffixes, fingerprints, packing, periodic, pieces, quality_classifier, quality_rules, simhash, toxicity, warc, word_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,35 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth (by the CRC-32 h of the id) repeat a part of themselves from a word on to their end.
+
+    From word a on, word i becomes word a + (i - a) % p, with g = floor(h / 10), a = g % n and p = 1 + floor((n - a) / (3 + g % 8)).
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeating(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " ")
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    changed = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, repeating(w)).otherwise("")), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256 of every document."""
+    out = periodic.periodic_runs(with_periods(table(spark, sf_dir, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    rows = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), first.alias("f"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length = -F.col("f.less")
+    return rows.select("doc_id", "n_runs", "f.start", length.alias("length"), "f.period", F.floor(1000 * length / F.col("f.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_ordinal": op1_toxicity_ordinal,
@@ -83,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_merged_suffixes": op8_merged_suffixes,
         "op9_subword_quality": op9_subword_quality,
         "op10_simhash_bktree": op10_simhash_bktree,
+        "op12_periodic_minimizers": op12_periodic_minimizers,
     }
 
 
@@ -123,6 +153,36 @@ SELECT t.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGIN
 FROM t JOIN k ON t.doc_id = k.doc_id LEFT JOIN d ON t.doc_id = d.doc_id
 """
 
+#: The CRC-32 of texts of digits, by the table of its bytes (256 entries, made by rule).
+CRC_SQL = """crc AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v
+  FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the unsigned CRC-32 of an ASCII text; the table is ``crc``."""
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
+
+
+#: Lags up to 11 compare words; a longer lag of a run has 12 equal words in a row at least, so 12-word grams are joined.
+OP12_SQL = f"""
+WITH {CRC_SQL},
+h AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {crc_sql("doc_id::VARCHAR")} AS h FROM documents, crc),
+a AS (SELECT *, len(w) AS n, (h // 10) % greatest(len(w), 1) AS a FROM h),
+t AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM a),
+short AS (SELECT doc_id, q, i FROM (SELECT doc_id, w, q, unnest(range(1, n - q + 1)) AS i FROM t, range(1, 12) AS r(q) WHERE n > q) WHERE w[i] = w[i + q]),
+grams AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 11], ' ')) AS m FROM (SELECT doc_id, w, unnest(range(1, n - 10)) AS i FROM t WHERE n >= 24)),
+long AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.m = y.m AND y.i >= x.i + 12),
+both_ AS (SELECT doc_id, q, i, 0 AS more FROM short UNION ALL SELECT doc_id, q, i, 11 FROM long),
+s AS (SELECT doc_id, q, min(i) - 1 AS start, count(*) + max(more) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM both_) GROUP BY doc_id, q, g HAVING count(*) + max(more) + q >= greatest(12, 2 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+r AS (SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start := start, length := length, period := period), [-length, start, period]) AS f, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period + 1, start + length + 1)) AS i FROM runs),
+k AS (SELECT x.doc_id, string_agg(x.v, ' ' ORDER BY x.i) AS kept FROM (SELECT doc_id, w[i] AS v, i FROM (SELECT doc_id, w, unnest(range(1, n + 1)) AS i FROM t)) x ANTI JOIN gone g ON x.doc_id = g.doc_id AND x.i = g.i GROUP BY x.doc_id)
+SELECT t.doc_id, coalesce(r.n_runs, 0)::BIGINT AS n_runs, f.start::BIGINT AS start, f.length::BIGINT AS length, f.period::BIGINT AS period, (1000 * f.length // f.period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index": OP2_SQL, "op5_block_anchors": OP5_SQL, "op8_merged_suffixes": OP8_SQL}
+    return {"op2_warc_index": OP2_SQL, "op5_block_anchors": OP5_SQL, "op8_merged_suffixes": OP8_SQL, "op12_periodic_minimizers": OP12_SQL}
