@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import byte_suffixes, fingerprints, packing, periodic, pieces, quality_classifier, quality_rules, simhash, toxicity, warc, word_blocks
+from placegrid.llm import byte_suffixes, fingerprints, packing, periodic, pieces, quality_classifier, quality_rules, simhash, spelling, toxicity, warc, word_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,18 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shortened(doc: int | None, word: str) -> str:
+    """The word without a code point if 31 divides the CRC-32 of ``<doc_id>:<word>``, which also says which one."""
+    h = zlib.crc32(word.encode(), zlib.crc32(b"%d:" % doc)) if doc is not None else 1
+    at = h % len(word)
+    return word if h % 31 else word[:at] + word[at + 1 :]
+
+
+def op11_trie_pair_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n of every word of seven letters or more that occurs twice or more."""
+    return spelling.spelling_variants(spelling.counted(table(spark, sf_dir, "documents"), shortened))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """Documents of which a tenth (by the CRC-32 h of the id) repeat a part of themselves from a word on to their end.
 
@@ -112,6 +125,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_merged_suffixes": op8_merged_suffixes,
         "op9_subword_quality": op9_subword_quality,
         "op10_simhash_bktree": op10_simhash_bktree,
+        "op11_trie_pair_variants": op11_trie_pair_variants,
         "op12_periodic_minimizers": op12_periodic_minimizers,
     }
 
