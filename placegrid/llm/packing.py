@@ -5,7 +5,7 @@ number of pieces of each length, at most ``size`` counts, so the plan is made fr
 lengths go from long to short; the gap that a piece leaves is looked up in an index of single, pair and triple length
 sums and combinations that fill it exactly are consumed as long as all their members are available; what has no exact
 complement is filled by best fit (the largest sum of one or two available lengths that fits, again and again). The plan
-is a list of (lengths, copies). Pieces are then numbered within their length in a distributed way and looked up in the plan, so any
+is a list of (runs of equal lengths, copies). Pieces are then numbered within their length in a distributed way and looked up in the plan, so any
 number of equal lengths spreads over all tasks.
 
 Tokenising: the given tokenizer lower-cases and never joins text across white space (which its splitter drops), nor a
@@ -35,77 +35,94 @@ CACHE = 400_000
 STOP = re.compile(rb"(?<=[a-z])([.,]+)(?=\s|$)")
 
 
+Runs = tuple[tuple[int, int], ...]
+
+
 def planned(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths of a sequence, copies) for counts[length] pieces of each length up to ``size``."""
-    left = [0, *counts[1:].tolist()]
-    pair_at, triple_at = [1] * (size + 1), [1] * (size + 1)  # by sum: the first member that may still serve; counts only fall, so it only moves on
-    plan: list[tuple[tuple[int, ...], int]] = []
+    return [(tuple(p for p, times in runs for _ in range(times)), copies) for runs, copies in planned_runs(counts, size)]
 
-    def enough(parts: tuple[int, ...]) -> int:
-        if len(parts) == len(set(parts)):
-            return min(left[p] for p in parts)
-        return min(left[p] // parts.count(p) for p in parts)
 
-    def take(parts: tuple[int, ...]) -> None:
-        n = enough(parts)
-        plan.append((parts, n))
-        for p in parts:
-            left[p] -= n
+def planned_runs(counts: np.ndarray, size: int) -> list[tuple[Runs, int]]:
+    """(a sequence as runs of (length, times), copies) for counts[length] pieces of each length up to ``size``."""
+    left = [0, *counts[1:].tolist()]
+    pair_at, triple_at = [1] * (size + 1), [1] * (size + 1)  # by sum: the first member that may still serve; counts only fall, so it only moves on
+    plan: list[tuple[Runs, int]] = []
+    used: dict[int, int] = defaultdict(int)  # by the sequence that is being made
 
-    def single(total: int, also: tuple[int, ...]) -> tuple[int, ...] | None:
-        return (total,) if left[total] and enough((*also, total)) else None
+    def single(total: int) -> tuple[int, ...] | None:
+        return (total,) if left[total] > used.get(total, 0) else None
 
-    def pair(total: int, also: tuple[int, ...]) -> tuple[int, ...] | None:
+    def pair(total: int) -> tuple[int, ...] | None:
         a = pair_at[total]
         while 2 * a <= total and not (left[a] and left[total - a]):
             a += 1
         pair_at[total] = a
         while 2 * a <= total:
-            if left[a] and left[total - a] and enough((*also, total - a, a)):
-                return total - a, a
+            b = total - a
+            if left[a] > used.get(a, 0) + (a == b) and left[b] > used.get(b, 0):
+                return b, a
             a += 1
         return None
 
-    def triple(total: int, also: tuple[int, ...]) -> tuple[int, ...] | None:
+    def triple(total: int) -> tuple[int, ...] | None:
         a = triple_at[total]
         while 3 * a <= total and not left[a]:
             a += 1
         triple_at[total] = a
         while 3 * a <= total:
-            if left[a] and (two := pair(total - a, (*also, a))):
-                return *two, a
+            if left[a] > used.get(a, 0):
+                used[a] += 1
+                two = pair(total - a)
+                used[a] -= 1
+                if two:
+                    return *two, a
             a += 1
         return None
 
-    def fitting(gap: int, also: tuple[int, ...]) -> tuple[int, ...]:
-        """The largest sum of one or two available lengths that fits, again and again."""
+    def fitting(gap: int) -> tuple[int, ...] | None:
+        """The largest sum of one or two available lengths that fits."""
         for total in range(gap, 0, -1):
-            if parts := single(total, also) or pair(total, also):
-                return *parts, *(fitting(gap - total, (*also, *parts)) if total < gap else ())
-        return ()
+            if parts := single(total) or pair(total):
+                return parts
+        return None
 
     for length in range(size, 0, -1):
         while left[length]:
-            gap, own = size - length, (length,)
-            if gap:
-                own += single(gap, own) or pair(gap, own) or triple(gap, own) or fitting(gap, own)
-            take(own)
+            used.clear()
+            used[length], runs, gap = 1, [(length, 1)], size - length
+            parts = gap and (single(gap) or pair(gap) or triple(gap) or fitting(gap))
+            while parts:
+                # What was the largest to fit is so for the smaller gap too, as long as there is more of it.
+                times = min(gap // sum(parts), *((left[p] - used.get(p, 0)) // parts.count(p) for p in parts))
+                for p in parts:
+                    used[p] += times
+                    runs.append((p, times))
+                gap -= times * sum(parts)
+                parts = gap and fitting(gap)
+            copies = min(left[p] // n for p, n in used.items() if n)
+            plan.append((tuple(runs), copies))
+            for p, n in used.items():
+                left[p] -= n * copies
     return plan
 
 
-def slots(plan: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...]:
-    """Sorted (length << 40 | first rank), first sequence and offset of each run of equal slots."""
-    used: dict[int, int] = defaultdict(int)
+def slots(plan: list[tuple[Runs, int]]) -> tuple[np.ndarray, ...]:
+    """Sorted (length << 40 | first rank), first sequence, offset and copies of each run of slots of one length.
+
+    Of a run's pieces the first ``copies`` lie at its offset in as many sequences, the next ones one length further on.
+    """
+    taken: dict[int, int] = defaultdict(int)
     rows, sequence = [], 0
-    for parts, n in plan:
+    for runs, copies in plan:
         offset = 0
-        for p in parts:
-            rows.append((p << 40 | used[p], sequence, offset))
-            used[p] += n
-            offset += p
-        sequence += n
+        for p, times in runs:
+            rows.append((p << 40 | taken[p], sequence, offset, copies))
+            taken[p] += copies * times
+            offset += p * times
+        sequence += copies
     rows.sort()
-    return tuple(np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([], [], [])))
+    return tuple(np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else ([], [], [], [])))
 
 
 #: With these alone (besides letters beyond ASCII), every stop or comma before white space closes a unit.
@@ -206,17 +223,18 @@ def packed(pieces: DataFrame, size: int = SIZE) -> DataFrame:
     counts = np.zeros(size + 1, np.int64)
     for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most ``size`` rows
         counts[r["length"]] = r["n"]
-    key, sequence, offset = slots(planned(counts, size))
+    key, sequence, offset, copies = slots(planned_runs(counts, size))
     rows = pieces.join(before.hint("merge"), ["length", "part"])  # grows with the tasks, so it is not broadcast
     rows = rows.withColumn("rank", F.col("nth") + F.col("first")).drop("first")
     names = [c for c in rows.columns if c not in ("part", "nth", "rank")]
 
     def place(batches):
         for b in batches:
-            want = (b["length"].to_numpy() << 40) | b["rank"].to_numpy()
+            length = b["length"].to_numpy()
+            want = (length << 40) | b["rank"].to_numpy()
             at = np.searchsorted(key, want, side="right") - 1
             extra = want - key[at]
-            yield b[names].assign(sequence_id=sequence[at] + extra, offset=offset[at])
+            yield b[names].assign(sequence_id=sequence[at] + extra % copies[at], offset=offset[at] + extra // copies[at] * length)
 
     ordered = {f.name: f for f in rows.schema}
     schema = ", ".join(f"{n} {ordered[n].dataType.simpleString()}" for n in names) + ", sequence_id long, offset long"
