@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placegrid.llm import byte_suffixes, fingerprints, packing, periodic, pieces, quality_classifier, quality_rules, simhash, spelling, toxicity, warc, word_blocks
+from placegrid.llm import byte_suffixes, fingerprints, packing, periodic, pieces, quality_classifier, quality_rules, recurrent, simhash, spelling, toxicity, warc, word_blocks
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +113,11 @@ def op12_periodic_minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", "f.start", length.alias("length"), "f.period", F.floor(1000 * length / F.col("f.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+def op13_recurrent_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    return recurrent.log_likelihoods(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity_ordinal": op1_toxicity_ordinal,
@@ -127,6 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_simhash_bktree": op10_simhash_bktree,
         "op11_trie_pair_variants": op11_trie_pair_variants,
         "op12_periodic_minimizers": op12_periodic_minimizers,
+        "op13_recurrent_language_model": op13_recurrent_language_model,
     }
 
 
