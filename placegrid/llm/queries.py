@@ -183,6 +183,26 @@ def crc_sql(text: str) -> str:
     return f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
 
 
+#: Neighbours by the texts that are left when one code point is taken out; forms are followed by recursion.
+OP11_SQL = f"""
+WITH RECURSIVE {CRC_SQL},
+runs AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\u00C0-\u00FF]+')) AS raw FROM documents)),
+low AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w),
+x AS (SELECT w, k, hex(encode(doc_id || ':' || w)) AS x FROM low),
+h AS (SELECT w, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]))) AS h FROM x, crc),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+dels AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS d FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)),
+shorter AS (SELECT DISTINCT a.word, a.n, b.word AS less, b.n AS less_n FROM dels a JOIN words b ON a.d = b.word),
+near AS (SELECT a.word, b.word AS near, b.n FROM dels a JOIN dels b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION ALL SELECT word, less, less_n FROM shorter UNION ALL SELECT less, word, n FROM shorter),
+best AS (SELECT word, count(*) AS n_near, arg_max(near, n) AS one, max(n) AS n FROM near GROUP BY word),
+first AS (SELECT b.word, min(near.near) AS near FROM best b JOIN near ON near.word = b.word AND near.n = b.n GROUP BY b.word),
+forms AS (SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.n >= 10 * w.n THEN f.near END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word LEFT JOIN first f ON w.word = f.word),
+chain AS (SELECT word, word AS at FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON c.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, c.at AS root, f.n, f.n_near, f.form_n::BIGINT AS form_n FROM forms f JOIN chain c ON c.word = f.word JOIN forms e ON e.word = c.at WHERE e.form IS NULL
+"""
+
 #: Lags up to 11 compare words; a longer lag of a run has 12 equal words in a row at least, so 12-word grams are joined.
 OP12_SQL = f"""
 WITH {CRC_SQL},
@@ -205,4 +225,4 @@ FROM t LEFT JOIN r USING (doc_id) LEFT JOIN k USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_index": OP2_SQL, "op5_block_anchors": OP5_SQL, "op8_merged_suffixes": OP8_SQL, "op12_periodic_minimizers": OP12_SQL}
+    return {"op2_warc_index": OP2_SQL, "op5_block_anchors": OP5_SQL, "op8_merged_suffixes": OP8_SQL, "op11_trie_pair_variants": OP11_SQL, "op12_periodic_minimizers": OP12_SQL}
