@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.functions.numbers import NUMBER, clamp, fenced
+from placegrid.functions.numbers import NUMBER, clamp, kept_once
 
 #: A reason keeps its JSON type, as a number is no reason.
 POINT = "center string, weight string, reasoning variant"
@@ -55,7 +55,11 @@ def numbers(cells: Column, grid: int) -> Column:
 
 def verify_grid(cells: Column, grid: int = 4) -> Column:
     """All cells present, numeric and within [0, 2]; further keys are allowed."""
-    return F.forall(numbers(cells, grid), lambda w: F.coalesce(w.between(0, 2), F.lit(False)))
+    return in_range(numbers(cells, grid))
+
+
+def in_range(weights: Column) -> Column:
+    return F.forall(weights, lambda w: F.coalesce(w.between(0, 2), F.lit(False)))
 
 
 def patch_grid(cells: Column, grid: int = 4) -> Column:
@@ -63,8 +67,13 @@ def patch_grid(cells: Column, grid: int = 4) -> Column:
 
     ``cells`` should be a column of its own: an expression would be parsed again for each use.
     """
+    return patched_cells(cells, numbers(cells, grid), grid)
+
+
+def patched_cells(cells: Column, weights: Column, grid: int) -> Column:
+    """The same from cells whose ``numbers`` are known."""
     keys = F.array(*[F.lit(k) for k in grid_keys(grid)])
-    values = F.transform(numbers(cells, grid), lambda w: F.coalesce(clamp(w, 0, 2), F.lit(1.0)).cast("string"))
+    values = F.transform(weights, lambda w: F.coalesce(clamp(w, 0, 2), F.lit(1.0)).cast("string"))
     more = F.map_filter(F.coalesce(cells, F.create_map().cast("map<string,string>")), lambda k, v: ~F.array_contains(keys, k))
     return F.map_concat(F.map_from_arrays(keys, values), more)
 
@@ -81,14 +90,25 @@ def _point(p: Column) -> Column:
 
 def verify_points(items: Column) -> Column:
     """Not empty, and every item has a center of two numbers in [0, 1], a weight in [0, 2] and a reason that is a text."""
-    rows = F.transform(items, _point)
+    return all_valid(valid_rows(items))
+
+
+def valid_rows(items: Column) -> Column:
+    """The items with their numbers, each parsed once."""
+    return F.transform(items, _point)
+
+
+def all_valid(rows: Column) -> Column:
     good = lambda q: F.coalesce((q["n"] == 2) & q["x"].between(0, 1) & q["y"].between(0, 1) & q["w"].between(0, 2) & (q["reasoning"] != ""), F.lit(False))
-    return F.coalesce((F.size(items) > 0) & F.forall(rows, good), F.lit(False))
+    return F.coalesce((F.size(rows) > 0) & F.forall(rows, good), F.lit(False))
 
 
 def patch_points(items: Column) -> Column:
     """Valid items only, limited to their ranges, reasons trimmed."""
-    rows = F.transform(items, _point)
+    return fitting(valid_rows(items))
+
+
+def fitting(rows: Column) -> Column:
     fit = F.filter(rows, lambda q: F.coalesce((q["n"] == 2) & q["x"].isNotNull() & q["y"].isNotNull() & q["w"].isNotNull() & (q["reasoning"] != ""), F.lit(False)))
     return F.transform(fit, lambda q: F.struct(F.array(clamp(q["x"], 0, 1), clamp(q["y"], 0, 1)).alias("center"), clamp(q["w"], 0, 2).alias("weight"), q["reasoning"].alias("reasoning")))
 
@@ -149,13 +169,17 @@ def repaired(documents: DataFrame, text: str = "text", grid: int = 4) -> DataFra
     whole = F.when(F.col("_k") == "STRING", clean_initial(F.try_variant_get("_r", "$", "string"))).when(F.col("_k").startswith("OBJECT") | F.col("_k").startswith("ARRAY"), F.to_json("_r"))
     rows = rows.withColumn("no_weighting", F.col("_v").isNotNull() & plain).withColumn("_t", whole).withColumn("_kind", kind(F.col("_t")))
     rows = rows.withColumn("_cells", F.when(F.col("_kind") == "object", as_map(F.col("_t")))).withColumn("_points", F.when(F.col("_kind") == "array", points(F.col("_t"))))
-    right = F.when(F.col("_kind") == "object", verify_grid(F.col("_cells"), grid)).when(F.col("_kind") == "array", verify_points(F.col("_points")))
-    rows = rows.withColumn("_ok", right).withColumn("_fixed", F.when(~F.col("_ok"), F.when(F.col("_kind") == "object", F.to_json(patch_grid(F.col("_cells"), grid))).otherwise(F.to_json(patch_points(F.col("_points"))))))
-    again = F.when(F.col("_kind") == "object", verify_grid(as_map(F.col("_fixed")), grid)).otherwise(verify_points(points(F.col("_fixed"))))
+    # A patched grid is valid as it is made, and so are patched points unless none is left.
+    weights, good = numbers(F.col("_cells"), grid), valid_rows(F.col("_points"))
+    rows = rows.withColumn("_w", F.when(F.col("_kind") == "object", weights)).withColumn("_q", F.when(F.col("_kind") == "array", good))
+    right = F.when(F.col("_kind") == "object", in_range(F.col("_w"))).when(F.col("_kind") == "array", all_valid(F.col("_q")))
+    rows = rows.withColumn("_ok", right).withColumn("_p", F.when(~F.col("_ok") & (F.col("_kind") == "array"), fitting(F.col("_q"))))
+    patched = F.when(F.col("_kind") == "object", F.to_json(patched_cells(F.col("_cells"), F.col("_w"), grid))).otherwise(F.to_json(F.col("_p")))
     known = F.col("no_weighting") | F.col("_kind").isin("object", "array")
-    result = F.coalesce("_fixed", F.when(F.col("_kind").isin("object", "array"), F.col("_t")))
-    content = F.when(known, F.col("no_weighting") | F.when(F.col("_ok"), F.lit(True)).otherwise(again))
-    return fenced(rows.select(*documents.columns, result.alias("result"), F.when(known, F.lit(True)).alias("format_verified"), content.alias("content_verified"), "no_weighting"))
+    result = F.when(F.col("_kind").isin("object", "array"), F.when(F.col("_ok"), F.col("_t")).otherwise(patched))
+    content = F.when(known, F.col("no_weighting") | F.col("_ok") | F.when(F.col("_kind") == "array", F.size("_p") > 0).otherwise(F.lit(True)))
+    out = rows.select(*documents.columns, result.alias("result"), F.when(known, F.lit(True)).alias("format_verified"), content.alias("content_verified"), "no_weighting")
+    return kept_once(out, "result", "format_verified", "content_verified", "no_weighting")
 
 
 def top100(response: Column) -> Column:

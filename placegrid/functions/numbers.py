@@ -19,9 +19,15 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(x, F.lit(float(low))), F.lit(float(high))))
 
 
-def fenced(df: DataFrame) -> DataFrame:
-    """The same rows; the optimizer moves no filter or expression across, where it would copy long expressions for each use."""
-    return df.mapInArrow(lambda batches: batches, df.schema)
+def kept_once(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows; the named columns are made as one value that the optimizer does not copy into filters and later uses.
+
+    A condition on a random number, always true, is what keeps it from it: nothing leaves the JVM, other columns are pruned
+    and filtered as ever.
+    """
+    rest = [c for c in df.columns if c not in names]
+    whole = F.when(F.rand(1) >= 0, F.struct(*names))
+    return df.select(*rest, whole.alias("_once")).select(*[F.col(f"_once.{c}").alias(c) if c in names else F.col(c) for c in df.columns])
 
 
 def human_duration(seconds: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placegrid.functions.jsonclean import _point, as_map, points, weight
-from placegrid.functions.numbers import clamp, fenced
+from placegrid.functions.numbers import clamp, kept_once
 
 SIGMA = 0.2
 #: Ratios up to this mean no attention at all.
@@ -61,18 +61,15 @@ def laid(height: int, width: int, interpolate: bool) -> Callable[[Column, Column
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series, rows: pd.Series, columns: pd.Series) -> pd.Series:
-        known: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        out: list[np.ndarray | None] = []
-        for v, r, c in zip(values, rows, columns, strict=True):
-            if v is None or pd.isna(r):
-                out.append(None)
-                continue
-            shape = int(r), int(c)
-            if shape not in known:
-                known[shape] = weights(shape[0], height), weights(shape[1], width)
-            a, b = known[shape]
-            out.append((a @ np.asarray(v, np.float64).reshape(shape) @ b.T).ravel())
-        return pd.Series(out, dtype=object)
+        out = np.empty(len(values), object)
+        there = values.notna().to_numpy() & rows.notna().to_numpy()
+        shapes = np.where(there, rows.fillna(0).to_numpy(np.int64) * (1 << 31) + columns.fillna(0).to_numpy(np.int64), -1)
+        for shape in np.unique(shapes[there]):  # one product for all of a shape
+            at, (r, c) = np.flatnonzero(shapes == shape), divmod(int(shape), 1 << 31)
+            stack = np.stack(values.iloc[at].to_list()).astype(np.float64).reshape(-1, r, c)
+            maps = weights(r, height) @ stack @ weights(c, width).T
+            out[at] = list(maps.reshape(len(at), -1))
+        return pd.Series(out)
 
     return run.asNondeterministic()  # so that filters on maps are not pushed below, which would lay them out twice
 
@@ -101,17 +98,18 @@ def point_map(points: Column, height: int, width: int, sigma: float = SIGMA) ->
 
     @F.pandas_udf("array<double>")
     def run(xs: pd.Series, ys: pd.Series, ws: pd.Series) -> pd.Series:
-        out: list[np.ndarray | None] = []
-        for x, y, w in zip(xs, ys, ws, strict=True):
-            if x is None:
-                out.append(None)
-            elif not len(x):
-                out.append(np.ones(height * width))
-            else:
-                logits = -((gx - np.asarray(x, np.float64)) ** 2 + (gy - np.asarray(y, np.float64)) ** 2) / (2 * sigma * sigma + 1e-12)
-                e = np.exp(logits - logits.max(1, keepdims=True))
-                out.append(np.clip(e @ np.asarray(w, np.float64) / e.sum(1), 0, 2))
-        return pd.Series(out, dtype=object)
+        out = np.empty(len(xs), object)
+        sizes = np.array([-1 if x is None else len(x) for x in xs])
+        for size in np.unique(sizes[sizes >= 0]):  # one softmax for all with as many points
+            at = np.flatnonzero(sizes == size)
+            if not size:
+                out[at] = [np.ones(height * width)] * len(at)
+                continue
+            x, y, w = (np.stack(v.iloc[at].to_list()).astype(np.float64)[:, None, :] for v in (xs, ys, ws))
+            logits = -((gx - x) ** 2 + (gy - y) ** 2) / (2 * sigma * sigma + 1e-12)
+            e = np.exp(logits - logits.max(2, keepdims=True))
+            out[at] = list(np.clip((e * w).sum(2) / e.sum(2), 0, 2))
+        return pd.Series(out)
 
     return run.asNondeterministic()(points["x"], points["y"], points["w"])
 
@@ -123,23 +121,27 @@ def cells_of(maps: DataFrame, key: str, column: str, width: int) -> DataFrame:
 
 
 def annotated(queries: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Queries (basename) with the text of the annotation of the same stem; NULL where there is none."""
+    """Queries (basename) with the text of the annotation of the same stem; NULL where there is none.
+
+    Of several annotations of a stem the one with the least file name counts, then the least text.
+    """
     stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
-    known = annotations.select(stem("filename").alias("_stem"), "text")
+    known = annotations.groupBy(stem("filename").alias("_stem")).agg(F.min(F.struct("filename", "text")).alias("_first")).select("_stem", F.col("_first.text").alias("text"))
     return queries.withColumn("_stem", stem("basename")).join(known, "_stem", "left").drop("_stem")
 
 
-def dispatched(rows: DataFrame, height: int, width: int, ratio: Column, text: str = "text", interpolate: bool = False) -> DataFrame:
+def dispatched(rows: DataFrame, height: int, width: int, ratio: Column, text: str = "text", interpolate: bool = False, wrapped: bool = False) -> DataFrame:
     """Adds attention_status (plain, grid, points, fallback) and attention (a map, NULL where plain or fallback).
 
     A ratio up to LEAST_RATIO, no document, no result or one of another kind means plain; a wrapper's result is taken out.
+    ``wrapped``: the documents are annotation files, whose weights are in ``result``; one without it is plain.
     """
     found = rows.withColumn("_d", F.when(ratio > LEAST_RATIO, F.try_parse_json(text)))
     inner = F.try_variant_get("_d", "$.result", "variant")
-    found = found.withColumn("_d", F.when(inner.isNotNull(), inner).otherwise(F.col("_d"))).withColumn("_k", F.schema_of_variant("_d"))
+    found = found.withColumn("_d", inner if wrapped else F.when(inner.isNotNull(), inner).otherwise(F.col("_d"))).withColumn("_k", F.schema_of_variant("_d"))
     found = found.withColumn("_k", F.when(F.col("_k").startswith("OBJECT"), "object").when(F.col("_k").startswith("ARRAY"), "array")).withColumn("_t", F.to_json("_d"))
     found = found.withColumn("_m", F.when(F.col("_k") == "object", as_map(F.col("_t")))).withColumn("_n", grid_side(F.col("_m")))
     found = found.withColumn("_p", F.when(F.col("_k") == "array", valid_points(points(F.col("_t")))))
     found = grid_maps(found, "_m", height, width, interpolate, "_g").withColumn("_a", point_map(F.col("_p"), height, width))
     status = F.when(F.col("_k") == "array", "points").when((F.col("_k") == "object") & F.col("_n").isNotNull(), "grid").when(F.col("_k") == "object", "fallback").otherwise("plain")
-    return fenced(found.select(*rows.columns, status.alias("attention_status"), F.coalesce("_a", "_g").alias("attention")))
+    return kept_once(found.select(*rows.columns, status.alias("attention_status"), F.coalesce("_a", "_g").alias("attention")), "attention_status", "attention")

@@ -7,11 +7,15 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from placegrid.functions.paths import stem
+from placegrid.operators.generations import listed
+from placegrid.operators.positions import batched, numbered
 
 
 def pending(items: DataFrame, done: DataFrame, key: str = "item") -> DataFrame:
@@ -20,8 +24,14 @@ def pending(items: DataFrame, done: DataFrame, key: str = "item") -> DataFrame:
 
 
 def latest(ledger: DataFrame, key: str = "item", order: str = "attempt") -> DataFrame:
-    """The last row of each item: last write wins."""
-    return ledger.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    """The last row of each item: last write wins, and of rows with equal ``order`` the one that is least as JSON.
+
+    ``order``: numbers or time stamps; a NULL is before all others. One aggregation, with partial ones before the shuffle,
+    so that an item with very many attempts is no hot key.
+    """
+    at = F.col(order) if isinstance(ledger.schema[order].dataType, NumericType) else F.unix_micros(F.col(order).cast("timestamp"))
+    first = F.struct(at.isNull().alias("n"), (-at).alias("o"), F.to_json(F.struct("*")).alias("j"))
+    return ledger.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct("*"), first).alias("w")).select("w.*")
 
 
 def to_retry(items: DataFrame, ledger: DataFrame, key: str = "item") -> DataFrame:
@@ -37,22 +47,26 @@ def outputs_done(items: DataFrame, outputs: DataFrame) -> DataFrame:
 
 
 def attempted(items: DataFrame, work: Callable[[str], str], attempt: int = 1, tries: int = 1) -> DataFrame:
-    """item, status, result, error, attempt: ``work`` on every item; an item's failure is recorded in its row alone."""
+    """item, status, result, error, attempt: ``work`` on every item; an item's failure is recorded in its row alone.
+
+    Items may bring the number of their attempt as a column ``attempt``.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for item in b["item"]:
+            for item, number in zip(b["item"], b["attempt"], strict=True):
                 for left in range(tries - 1, -1, -1):
                     try:
-                        rows.append((item, "success", work(item), None, attempt))
+                        rows.append((item, "success", work(item), None, number))
                         break
                     except Exception as e:  # noqa: BLE001  user code: recorded, retried, never fatal
                         if not left:
-                            rows.append((item, "failed", None, repr(e), attempt))
+                            rows.append((item, "failed", None, repr(e), number))
             yield pd.DataFrame(rows, columns=["item", "status", "result", "error", "attempt"])
 
-    return items.select(F.col("item").cast("string")).mapInPandas(run, "item string, status string, result string, error string, attempt int")
+    number = F.col("attempt") if "attempt" in items.columns else F.lit(attempt)
+    return items.select(F.col("item").cast("string"), number.cast("int").alias("attempt")).mapInPandas(run, "item string, status string, result string, error string, attempt int")
 
 
 def shard_completeness(expected: DataFrame, found: DataFrame) -> DataFrame:
@@ -61,30 +75,14 @@ def shard_completeness(expected: DataFrame, found: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("expected"), F.count_if(F.col("rows") > 0).alias("found"), F.count_if(F.col("rows").isNull()).alias("missing"), F.count_if(F.col("rows") == 0).alias("corrupt")).withColumn("rate", F.try_divide("found", "expected"))
 
 
-def prefix_counts(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """range, first: the number of rows with a key below each range of ``width`` keys, without one task that holds all.
-
-    Ranges are summed in blocks of ``width`` ranges, and the blocks' sums in turn; the last level is one short window.
-    """
-    counts = rows.groupBy(F.floor(F.col(key) / width).alias("range")).agg(F.count(F.lit(1)).alias("n"))
-    block = F.floor(F.col("range") / width)
-    blocks = counts.groupBy(block.alias("block")).agg(F.sum("n").alias("n"))
-    before = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("base"))
-    inside = F.sum("n").over(Window.partitionBy("block").orderBy("range")) - F.col("n")
-    return counts.withColumn("block", block).withColumn("inside", inside).join(before, "block").select("range", (F.col("base") + F.col("inside")).alias("first"))
-
-
-def ranked(items: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """Adds position (from 0) in the order of a distinct integer key."""
-    rows = items.withColumn("_r", F.floor(F.col(key) / width))
-    first = prefix_counts(items, key, width).withColumnRenamed("range", "_r")
-    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1).join(first, "_r")
-    return numbered.withColumn("position", F.col("first") + F.col("_i")).drop("_r", "_i", "first")
+def ranked(items: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """Adds position (from 0) in the order of a key of any type (see ``positions``)."""
+    return numbered(items, key, ranges=ranges)
 
 
-def batches(items: DataFrame, key: str, size: int, width: int = 4096) -> DataFrame:
-    """Consecutive batches of ``size`` in the order of a distinct integer key, numbered from 0 and zero-padded."""
-    return ranked(items, key, width).withColumn("batch", F.lpad(F.floor(F.col("position") / size).cast("string"), 6, "0")).drop("position")
+def batches(items: DataFrame, key: str, size: int) -> DataFrame:
+    """Consecutive batches of ``size`` in the order of a key of any type, numbered from 0 and zero-padded."""
+    return batched(items, key, size=size)
 
 
 def usage(rows: DataFrame, by: str) -> DataFrame:
@@ -168,26 +166,34 @@ def checkpoint_info(ledger: DataFrame) -> DataFrame:
 
 
 def checkpoint(spark: SparkSession, main: str, backup: str, schema: str) -> DataFrame:
-    """The ledger at ``main``; the backup if the main one is there but cannot be read; empty if there is no main one."""
+    """The ledger at ``main``; the backup if the main one is there but not all of it can be read; empty if there is no main one.
+
+    All files are read, so one that is cut short is noticed. If neither can be read it fails: an empty ledger would have
+    all work done again. ``generations`` keeps ledgers that can also tell a lost file.
+    """
+    failed: Exception | None = None
     for path in (main, backup):
+        rows = spark.read.schema(schema)
         try:
-            rows = spark.read.schema(schema).parquet(path)
-            rows.limit(1).collect()
-            return rows
-        except Exception as e:  # noqa: BLE001
+            found = rows.parquet(path)
+            found.select(F.sum(F.xxhash64(F.to_json(F.struct("*"))).bitwiseAND(F.lit(1)))).collect()
+            return found
+        except (PySparkException, Py4JJavaError) as e:
             if "PATH_NOT_FOUND" in str(e):
                 break
+            failed = e
+    if failed:
+        raise failed
     return spark.createDataFrame([], schema)
 
 
 def cached(spark: SparkSession, base: str, parameters: dict[str, object], make: Callable[[], DataFrame]) -> DataFrame:
-    """A result under a folder named by all its parameters (and what it was made from), made only if it is not there."""
+    """A result under a folder named by all its parameters (and what it was made from), made only if it is not there.
+
+    A folder without the mark of a finished write is what a failed one left, and is written again.
+    """
     name = hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:24]
     path = f"{base.rstrip('/')}/{name}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    make().write.mode("errorifexists").parquet(path)
+    if "_SUCCESS" not in listed(spark, path):
+        make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

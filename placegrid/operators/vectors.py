@@ -1,10 +1,7 @@
 """Vector search and pooling on arrays.
 
-Exact k-nearest-neighbour search packs both sides into blocks of rows and compares block with block in numpy (a stated
-query set against all references): references are never broadcast as a whole, each block pair keeps only k rows a query,
-and a windowed top-k merges them. Squared distances are summed in double precision; ties are broken by target. Rows
-without a vector, or with a NULL or NaN in it, are neither queries nor references; ``unusable`` reports them, and those of
-another length than a stated size.
+Exact k-nearest-neighbour search is in ``search``. Rows without a vector, or with a NULL or NaN in it, are neither queries
+nor references there; ``unusable`` reports them, and those of another length than a stated size.
 """
 
 from __future__ import annotations
@@ -13,10 +10,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from placegrid.operators.search import knn, top_k
+
+__all__ = ["expanded", "knn", "l2_normalized", "pooled", "projected", "rerank", "squared_l2", "top_k", "unusable"]
+
 EPS, POWER = 1e-6, 3.0
 
 
@@ -29,45 +30,6 @@ def l2_normalized(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.when(norm > 1e-12, norm).otherwise(F.lit(1e-12)))
 
 
-def blocked(df: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
-    """Rows packed into blocks of about ``size``: name_keys, name_vectors."""
-    rows = df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x)))
-    n = max(1, rows.count() // size + 1)
-    block = F.pmod(F.xxhash64(key), F.lit(n))
-    packed = rows.select(block.alias("block"), F.struct(F.col(key).alias("k"), F.col(vector).alias("v")).alias("r"))
-    return packed.groupBy("block").agg(F.collect_list("r").alias("r")).select(F.col("r.k").alias(f"{name}_keys"), F.col("r.v").alias(f"{name}_vectors"))
-
-
-def knn(queries: DataFrame, references: DataFrame, k: int, query: str = "query", target: str = "target", vector: str = "features", block: int = 1024, size: int | None = None) -> DataFrame:
-    """query, rank (from 1), target, d2 of the k nearest references; min(k, references) rows a query. Keys are longs.
-
-    ``size``: the vectors' length; others are left out.
-    """
-    if size is not None:
-        queries, references = queries.where(F.size(vector) == size), references.where(F.size(vector) == size)
-    pairs = blocked(queries, query, vector, block, "q").crossJoin(blocked(references, target, vector, 4 * block, "t"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for qk, qv, tk, tv in zip(b["q_keys"], b["q_vectors"], b["t_keys"], b["t_vectors"], strict=True):
-                q, t = np.stack(list(qv)).astype(np.float64), np.stack(list(tv)).astype(np.float64)
-                near = (q * q).sum(1)[:, None] + (t * t).sum(1)[None, :] - 2 * (q @ t.T)  # to shortlist; scored exactly below
-                n = min(k, len(t))
-                bound = np.partition(near, n - 1, axis=1)[:, n - 1] * (1 + 1e-9) + 1e-6
-                row, col = np.nonzero(near <= bound[:, None])
-                d2 = ((q[row] - t[col]) ** 2).sum(1)
-                yield pd.DataFrame({query: np.asarray(qk)[row], target: np.asarray(tk)[col], "d2": d2})
-
-    found = pairs.mapInPandas(compare, f"{query} long, {target} long, d2 double")
-    return top_k(found, k, query, target)
-
-
-def top_k(found: DataFrame, k: int, query: str = "query", target: str = "target") -> DataFrame:
-    """The k smallest d2 of each query, ties by target."""
-    rank = F.row_number().over(Window.partitionBy(query).orderBy("d2", target))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(query, "rank", target, "d2")
-
-
 def rerank(queries: DataFrame, references: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """Exact search within each query's candidates (query, target) only; queries without any drop out."""
     pairs = candidates.select("query", "target").distinct().join(references, "target").join(queries.withColumnRenamed("features", "q"), "query")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placegrid.functions import jsonclean as J
@@ -17,6 +17,7 @@ from placegrid.functions.numbers import human_duration
 from placegrid.operators import attention, ledger, vectors
 from placegrid.operators import places as L
 from placegrid.plans import fixtures as X
+from placegrid.plans import mechanisms
 from placegrid.sources import agents, images
 from placegrid.streaming import incremental
 
@@ -90,9 +91,14 @@ def retrieval_and_truth(spark, sf):
     return vectors.knn(q, t, K), q.select("query", "label").join(t.select("target", "label"), "label", "left").select("query", "target")
 
 
+def hits_by_label(spark, sf):
+    q, t = X.vectors(spark, sf)
+    return L.label_hits(vectors.knn(q, t, K), q, t)
+
+
 @registered
 def success_at_k(spark, sf):
-    return L.success_at_k(*retrieval_and_truth(spark, sf))
+    return L.success_of(hits_by_label(spark, sf))
 
 
 @registered
@@ -178,9 +184,9 @@ def radius_gt_counts(spark, sf):
 def geo_success(spark, sf):
     """The nearest ten targets by key order within 300 m count as retrieval; truth is 100 m."""
     q, t = X.places(spark, sf)
-    found = L.radius_join(q, t, 300.0).withColumn("d2", F.pmod(F.col("target") * 31, F.lit(101)))
-    results = L.success_at_k(vectors.top_k(found.select("query", "target", "d2"), K), L.ground_truth(q, t, 100.0))
-    return results
+    around = L.radius_join(q, t, 300.0).select("query", "target", F.pmod(F.col("target") * 31, F.lit(101)).alias("d2"), (F.col("distance_m") <= 100.0).alias("hit"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("d2", "target"))
+    return L.success_of(around.withColumn("rank", rank).where(F.col("rank") <= K))
 
 
 # Annotations
@@ -532,13 +538,15 @@ def feature_count_check(spark, sf):
 @registered
 def checkpoint_summary(spark, sf):
     lines = X.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").cast("long").alias("line"), "l_partkey", F.when(F.col("l_returnflag") == "R", "failed").otherwise("success").alias("status"))
-    return ledger.checkpoint_info(lines.select("item", (F.col("line") * 1000000000 + F.col("l_partkey")).alias("attempt"), "status"))
+    # Of rows with one attempt number the first in the table counts.
+    place = F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    return ledger.checkpoint_info(lines.select("item", (F.col("line") * 1000000000 + F.col("l_partkey")).alias("attempt"), place.alias("place"), "status"))
 
 
 @registered
 def path_order(spark, sf):
     """Positions of suppliers in the order of their keys."""
-    return ledger.ranked(X.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", 64)
+    return ledger.ranked(X.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey")
 
 
 # Conversations and prompts
@@ -599,7 +607,7 @@ def failure_split(spark, sf):
 
 @registered
 def result_hits(spark, sf):
-    return L.hits(*retrieval_and_truth(spark, sf))
+    return hits_by_label(spark, sf).select("query", "rank", "target", "hit")
 
 
 @registered
@@ -735,4 +743,4 @@ def streaming_equals_batch(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | mechanisms.QUERIES

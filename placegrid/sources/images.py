@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from placegrid.functions.jsonclean import kind
 from placegrid.functions.paths import ANNOTATION, basename, has_suffix, stem
+from placegrid.sources.files import registered
 
 
 def scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = ANNOTATION, any_case: bool = True, content: bool = False) -> DataFrame:
@@ -79,21 +78,14 @@ def sorted_scan(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = AN
 def put_files(rows: DataFrame, folder: str) -> DataFrame:
     """Write rows (name, content: binary) as one file each into a folder of any URI; name, bytes of what was written.
 
-    Files of a repeated attempt replace those before, as names come with the rows. Names must be distinct.
+    All or nothing (see ``files``): a failed task or job leaves no file. Names must be distinct; a file of the same name is
+    replaced.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = pafs.FileSystem.from_uri(folder)
-        fs.create_dir(base, recursive=True)
-        for b in batches:
-            for name, content in zip(b["name"], b["content"], strict=True):
-                with fs.open_output_stream(f"{base}/{name}", compression=None) as out:
-                    out.write(bytes(content))
-            yield pd.DataFrame({"name": b["name"], "bytes": b["content"].map(len)})
-
-    written = rows.where("content is not null").select("name", "content").mapInPandas(run, "name string, bytes long")
-    written.cache().count()  # once; later uses of the list write nothing
-    return written
+    spark = registered(rows.sparkSession)
+    there = rows.where("content is not null").select("name", "content")
+    there.write.format("smallfiles").mode("append").option("path", folder).save()
+    found = spark.read.format("smallfiles").option("path", folder).load().select(F.col("basename").alias("name"), "bytes")
+    return found.join(there.select("name"), "name", "left_semi")
 
 
 def annotation_files(rows: DataFrame) -> DataFrame:

@@ -18,6 +18,26 @@ from placegrid.sources.agents import worker
 Model = Callable[[list[bytes]], list[list[float]]]
 
 
+def outcomes(model: Model, contents: list[bytes]) -> list[tuple[list[float] | None, str | None]]:
+    """(features, error) of each content. A batch that fails for want of memory is halved; other errors are laid to single contents."""
+
+    def one(content: bytes) -> tuple[list[float] | None, str | None]:
+        try:
+            return model([content])[0], None
+        except Exception as e:  # noqa: BLE001
+            return None, repr(e)
+
+    if not contents:
+        return []
+    try:
+        return [(f, None) for f in model(contents)]
+    except Exception as e:  # noqa: BLE001
+        if len(contents) > 1 and (isinstance(e, MemoryError) or "out of memory" in str(e).lower()):
+            half = len(contents) // 2
+            return outcomes(model, contents[:half]) + outcomes(model, contents[half:])
+        return [one(c) for c in contents]
+
+
 def inferred(images: DataFrame, load: Callable[[], Model], batch: int = 32, name: str | None = None) -> DataFrame:
     """path, features, error for rows (path, content). ``name`` tells models apart; each is loaded once a worker.
 
@@ -27,27 +47,11 @@ def inferred(images: DataFrame, load: Callable[[], Model], batch: int = 32, name
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = worker(name, load)
-
-        def one(content: bytes) -> tuple[list[float] | None, str | None]:
-            try:
-                return model([content])[0], None
-            except Exception as e:  # noqa: BLE001
-                return None, repr(e)
-
-        def several(contents: list[bytes]) -> list[tuple[list[float] | None, str | None]]:
-            try:
-                return [(f, None) for f in model(contents)]
-            except Exception as e:  # noqa: BLE001
-                if len(contents) > 1 and (isinstance(e, MemoryError) or "out of memory" in str(e).lower()):
-                    half = len(contents) // 2
-                    return several(contents[:half]) + several(contents[half:])
-                return [one(c) for c in contents]
-
         for b in batches:
             rows = []
             for at in range(0, len(b), batch):
                 part = b.iloc[at : at + batch]
-                rows += [(p, *g) for p, g in zip(part["path"], several(list(part["content"])), strict=True)]
+                rows += [(p, *g) for p, g in zip(part["path"], outcomes(model, list(part["content"])), strict=True)]
             yield pd.DataFrame(rows, columns=["path", "features", "error"])
 
     return images.select("path", "content").mapInPandas(run, "path string, features array<float>, error string")
