@@ -68,7 +68,8 @@ class Block:
         self.bytes = np.frombuffer(b"".join(texts), np.uint8)
         self.stop = np.cumsum(size)
         self.end = np.repeat(self.stop, size).astype(np.int32)
-        self.sums, self.down = prefix_sums(TABLE[self.bytes])
+        self.values = TABLE[self.bytes]
+        self.sums, self.down = prefix_sums(self.values)
 
     def starts(self, size: int) -> np.ndarray:
         at = np.arange(len(self.end), dtype=np.int32)
@@ -185,7 +186,7 @@ class Strings:
             yes, maybe = judged(p.at, state, b, before, length)
             known.append(yes.astype(np.int64) + before)
             at.append(maybe.astype(np.int64) + before)
-            h, more = wide_hashes(b.sums, b.down, maybe, length)
+            h, more = wide_hashes(b.values, b.sums, b.down, maybe, length)
             key.append(h)
             half.append(more)
         self.known, self.at = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (known, at))

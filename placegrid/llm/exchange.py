@@ -335,8 +335,8 @@ def finished(chunks: DataFrame, fn: Callable[[Chunk, dict[str, bytes]], dict], s
     return chunks.mapInArrow(run, schema)
 
 
-#: Odd base of the polynomial window hashes, and its inverse modulo 2^64.
-BASE = 0x9E3779B97F4A7C15
+#: Odd bases of the polynomial window hashes.
+BASE, SECOND = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
@@ -346,17 +346,17 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
 
 
-def prefix_sums(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_sums(x: np.ndarray, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
     """(sums, inverse powers): the hash of x[i:j] is (sums[j] - sums[i]) * inverse[i], the same wherever x[i:j] occurs."""
     n = 1 << (len(x) + 1).bit_length()
-    if n not in _powers:
+    if (n, base) not in _powers:
         if len(_powers) > 6:
             _powers.clear()
-        _powers[n] = (powers(BASE, n), powers(INVERSE, n))
-    up, down = _powers[n]
+        _powers[n, base] = (powers(base, n), powers(pow(base, -1, 1 << 64), n))
+    up, down = _powers[n, base]
     sums = np.zeros(len(x) + 1, np.uint64)
     np.cumsum(x * up[: len(x)], out=sums[1:])
     return sums, down
@@ -366,10 +366,10 @@ def window_hashes(sums: np.ndarray, down: np.ndarray, start: np.ndarray, size: i
     return mix((sums[start + size] - sums[start]) * down[start])
 
 
-def wide_hashes(sums: np.ndarray, down: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each window: the hash of all of it, and that of its first half as two columns."""
-    half = window_hashes(sums, down, start, size // 2)
-    return window_hashes(sums, down, start, size), half.view(np.uint32).reshape(-1, 2)
+def wide_hashes(x: np.ndarray, sums: np.ndarray, down: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each window of ``x``: its hash by the first base, and that by the second as two columns."""
+    second = window_hashes(*prefix_sums(x, SECOND), start, size)
+    return window_hashes(sums, down, start, size), second.view(np.uint32).reshape(-1, 2)
 
 
 def covered(flags: np.ndarray, size: int) -> np.ndarray:

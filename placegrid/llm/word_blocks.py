@@ -48,7 +48,8 @@ class Windows:
         self.first = np.cumsum(self.counts) - self.counts
         self.end = np.repeat(self.first + self.counts, self.counts)  # of the document of each word
         self.place = np.arange(len(x)) - np.repeat(self.first, self.counts)  # within it
-        self.sums, self.down = prefix_sums(mix(x))
+        self.values = mix(x)
+        self.sums, self.down = prefix_sums(self.values)
 
     def starts(self, size: int) -> np.ndarray:
         at = np.arange(len(self.end))
@@ -89,7 +90,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def extended(c: Chunk, reply: bytes) -> tuple[Windows, np.ndarray, Keys, np.ndarray]:
         w = Windows(c)
         start = candidates(w, window, block, reply)
-        return w, start, *distinct(*wide_hashes(w.sums, w.down, start, window))
+        return w, start, *distinct(*wide_hashes(w.values, w.sums, w.down, start, window))
 
     compared = exchanged(probed, "same", lambda c, got: extended(c, got["probe"])[2], ranges=ranges)
 
