@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.functions.numbers import NUMBER, clamp, kept_once
+from placegrid.functions.numbers import NUMBER, clamp, fenced
 
 #: A reason keeps its JSON type, as a number is no reason.
 POINT = "center string, weight string, reasoning variant"
@@ -179,7 +179,7 @@ def repaired(documents: DataFrame, text: str = "text", grid: int = 4) -> DataFra
     result = F.when(F.col("_kind").isin("object", "array"), F.when(F.col("_ok"), F.col("_t")).otherwise(patched))
     content = F.when(known, F.col("no_weighting") | F.col("_ok") | F.when(F.col("_kind") == "array", F.size("_p") > 0).otherwise(F.lit(True)))
     out = rows.select(*documents.columns, result.alias("result"), F.when(known, F.lit(True)).alias("format_verified"), content.alias("content_verified"), "no_weighting")
-    return kept_once(out, "result", "format_verified", "content_verified", "no_weighting")
+    return fenced(out)  # a filter on the flags would otherwise copy the whole chain
 
 
 def top100(response: Column) -> Column:
