@@ -174,6 +174,24 @@ def sharded(nodes: DataFrame, radius: int, equal: int, hot: int = HOT) -> DataFr
     return rows.select("fp", F.explode(F.when(F.col("n").isNull(), F.array("key")).otherwise(split)).alias("key"))
 
 
+def whole_shards(batches: Iterator[pd.DataFrame], least: int = 50_000) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``key``, regrouped so that no shard is cut; about ``least`` at once."""
+    held: list[pd.DataFrame] = []
+    rows = 0
+    for b in batches:
+        if not len(b):
+            continue
+        held.append(b)
+        rows += len(b)
+        if rows >= least and held[0]["key"].iloc[0] != b["key"].iloc[-1]:  # the last shard may go on
+            part = pd.concat(held, ignore_index=True)
+            done = part["key"] != part["key"].iloc[-1]
+            yield part[done].reset_index(drop=True)
+            held, rows = [part[~done].reset_index(drop=True)], int((~done).sum())
+    if rows:
+        yield pd.concat(held, ignore_index=True)
+
+
 def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints ``fp`` within ``radius`` bits, found shard by shard."""
     n, equal = nodes.count(), 1
@@ -191,20 +209,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
             far = label != np.arange(len(label))
             return pd.DataFrame({"a": fps[far].view(np.int64), "b": fps[label[far]].view(np.int64)})
 
-        held: list[pd.DataFrame] = []
-        rows = 0
-        for b in batches:
-            if not len(b):
-                continue
-            held.append(b)
-            rows += len(b)
-            if rows >= 50_000 and held[0]["key"].iloc[0] != b["key"].iloc[-1]:  # whole shards only: the last may go on
-                part = pd.concat(held, ignore_index=True)
-                done = part["key"] != part["key"].iloc[-1]
-                yield solve(part[done].reset_index(drop=True))
-                held, rows = [part[~done].reset_index(drop=True)], int((~done).sum())
-        if rows:
-            yield solve(pd.concat(held, ignore_index=True))
+        yield from map(solve, whole_shards(batches))
 
     return shards.mapInPandas(search, "a long, b long").distinct()
 

@@ -7,12 +7,13 @@ pigeonhole shards of ``simhash`` would hold a large part of any corpus at that r
 of ``BANDS`` keys of ``ROWS`` MinHash values each. A pair at 0.8 has no common shard in (1 - 0.8^5)^24, less than one
 case in 10,000, and more similar ones still less often.
 
-Equal sets collapse first. Every member of a shard is checked against the shard's head, and links are joined. In the
-shards whose members are still in different groups, all members but those of the largest group look for members of other
-groups by a prefix filter: with the rarest shingles first, similar sets share one among the first fifth of each, with enough
-left after it. Those whose fingerprints lie within the radius are checked. So large groups cost one check a member, members
-that only resemble such a group cost few, and no candidate is left out. Checks compare the whole sets. A BK-tree of such a shard was tried: at this
-radius its edges exclude next to nothing, so fingerprints are compared directly.
+Equal sets collapse first. A shard's head is the root: every member whose fingerprint lies within the radius of the head's is
+checked against it, and links are joined. In the shards whose members are still in different groups, all members but those of
+the largest group search BK-trees for members of other groups. There is a tree for each shingle of a prefix filter: with the
+rarest shingles first, similar sets share one among the first fifth of each, with enough left after it. A tree's nodes are the
+distinct fingerprints of the sets that have its shingle there (children keyed by their Hamming distance to the parent), and a
+search follows only the edges within the radius. So large groups cost one check a member, members that only resemble such a
+group cost few, and no candidate is left out. Checks compare the whole sets.
 
 Texts stay where they are: a bitmap of fixed size tells which of them have candidates, and only their sets move.
 
@@ -22,13 +23,16 @@ repeated rows one stays; any further columns pass through, whatever their names;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placegrid.llm.common import mapped, texts, tune, written
-from placegrid.llm.simhash import SEED, components, fingerprint, majority, once
+from placegrid.llm.simhash import SEED, bk_forest, components, fingerprint, majority, once, tree_hits, whole_shards
 
 SHINGLE, BANDS, ROWS = 5, 24, 5
 #: Similarity from which documents link, as a fraction so that the comparison is exact.
@@ -39,6 +43,10 @@ SLOTS = 1 << 24
 CHUNK = 4096
 #: Bits by which fingerprints of similar sets may differ.
 RADIUS = 28
+#: Searches in one tree above which they are dealt over several copies of it.
+HOT = 20_000
+#: Pairs of members that a task looks at together.
+AT_ONCE = 1 << 20
 
 _rng = np.random.default_rng(SEED)
 TIMES = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,18 +147,59 @@ def prefixes(members: DataFrame, sets: DataFrame) -> DataFrame:
     return left.where(F.col("at") <= F.col("size") - least + 1).drop("n")
 
 
+def within(a: str, b: str) -> Column:
+    """Whether fingerprints lie within the radius."""
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= RADIUS
+
+
+def tree_pairs(shards: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (row that asks, row) of different labels that can be alike, found in the BK-trees of whole shards.
+
+    ``shards``: key, fp, label, size, at, asks, in order of key and fp.
+    """
+    key, fp, label, size, at, asks = (shards[n].to_numpy() for n in ("key", "fp", "label", "size", "at", "asks"))
+    size = size.astype(np.int64)
+    begin = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (fp[1:] != fp[:-1])])  # of each tree node's rows
+    count, n_asks = np.diff(np.r_[begin, len(key)]), np.add.reduceat(asks.astype(np.int64), begin)
+    tops = np.flatnonzero(np.r_[True, key[begin][1:] != key[begin][:-1]])
+    root = np.repeat(tops, np.diff(np.r_[tops, len(begin)]))
+    asking, first = np.flatnonzero(asks), np.cumsum(n_asks) - n_asks
+    nodes, q = fp[begin].view(np.uint64), np.flatnonzero(n_asks)
+    for one, other in tree_hits(nodes, bk_forest(nodes, root), q, root[q], RADIUS):
+        stop = np.cumsum(n_asks[one] * count[other])
+        lo = 0
+        while lo < len(one):
+            hi = max(lo + 1, int(np.searchsorted(stop, (stop[lo - 1] if lo else 0) + AT_ONCE, side="right")))
+            x, y = one[lo:hi], other[lo:hi]
+            n = n_asks[x] * count[y]
+            i, k = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            a, b = asking[first[x][i] + k // count[y][i]], begin[y][i] + k % count[y][i]
+            fits = (label[a] != label[b]) & (LEAST[1] * np.minimum(size[a], size[b]) >= LEAST[0] * np.maximum(size[a], size[b]))
+            # of two alike sets, from the first shared gram on each has as many grams left as must be shared; LEAST / (1 + LEAST) of both sizes
+            fits &= (1 + np.minimum(size[a] - at[a], size[b] - at[b])) * sum(LEAST) >= (size[a] + size[b]) * LEAST[0]
+            yield a[fits], b[fits]
+            lo = hi
+
+
 def across(left: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different labels that can be alike, once; any that share a key in ``left`` (key, node, fp, size, label) are among them."""
     top = left.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     rows = left.join(written(top.where("labels > 1").select("key", F.col("top.label").alias("top"))), "key")
     members = rows.groupBy("node", "label", "fp", "size").agg(F.max(F.col("label") != F.col("top")).alias("asks"))
     found = written(prefixes(written(members), sets))
-    ask = found.where("asks").select("gram", *[F.col(n).alias(f"{n}_a") for n in ("node", "label", "fp", "size", "at")])
-    # of two alike sets, from the first shared gram on each has as many grams left as must be shared; LEAST / (1 + LEAST) of both sizes
-    rest = 1 + F.least(F.col("size_a") - F.col("at_a"), F.col("size") - F.col("at"))
-    enough = rest * sum(LEAST) >= (F.col("size_a").cast("long") + F.col("size")) * LEAST[0]
-    near = (F.col("label_a") != F.col("label")) & near_size("size_a", "size") & (F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp"))) <= RADIUS)
-    return ask.join(found, "gram").where(near & enough).select(F.least("node_a", "node").alias("a"), F.greatest("node_a", "node").alias("b")).distinct()
+    asked = found.groupBy("gram").agg(F.sum(F.col("asks").cast("long")).alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    shards = found.join(asked.where("n > 0 and low <> high").select("gram", F.ceil(F.col("n") / HOT).alias("copies")), "gram")
+    shards = shards.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    turn = F.col("asks") & (F.pmod(F.xxhash64("node"), "copies") == F.col("copy"))
+    shards = shards.select(F.xxhash64("gram", "copy").alias("key"), "node", "fp", "label", "size", "at", turn.alias("asks"))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in whole_shards(batches):
+            node = part["node"].to_numpy()
+            for a, b in tree_pairs(part):
+                yield pd.DataFrame({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
+
+    return shards.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(search, "a long, b long").distinct()
 
 
 def labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -163,11 +212,11 @@ def groups(docs: DataFrame) -> DataFrame:
     rows = signatures(docs)
     nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     shards = nodes.select("node", "rep", "fp", "size", F.explode("keys").alias("key"))
-    heads = shards.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "node", "size")).alias("head"))
+    heads = shards.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "node", "size", "fp")).alias("head"))
     shards = written(shards.join(written(heads.where("n > 1").drop("n")), "key"))  # written, so that a hot shard's join can be split
     wanted = written(shards.select("node", F.col("rep").alias("doc_id")).distinct())
     sets = written(sets_of(docs, wanted))
-    stars = shards.where("node <> head.node").withColumn("other", F.col("head.size")).where(near_size("size", "other"))
+    stars = shards.where("node <> head.node").withColumn("other", F.col("head.size")).where(near_size("size", "other") & within("fp", "head.fp"))
     edges = written(checked(stars.select(F.col("head.node").alias("a"), F.col("node").alias("b")).distinct(), sets))
     left = written(labelled(shards.where("node <> head.node").select("key", "node", "fp", "size"), edges))
     more = written(checked(written(across(left, sets)), sets))

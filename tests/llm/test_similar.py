@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from placegrid.llm import similar
@@ -80,3 +81,29 @@ def test_pipeline_drops_similar(spark, tmp_path, labelled):  # noqa: F811
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     ids = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").distinct().collect()}
     assert ids == {i for i in range(400) if i % 4}
+
+
+def test_trees_find_what_all_pairs_would(monkeypatch):
+    rng, searched = np.random.default_rng(13), []
+    hits = similar.tree_hits
+
+    def counted(fps, child, q, root, radius):
+        searched.append(radius)
+        return hits(fps, child, q, root, radius)
+
+    monkeypatch.setattr(similar, "tree_hits", counted)
+    monkeypatch.setattr(similar, "AT_ONCE", 50)
+    n = 400
+    few = rng.integers(0, 1 << 63, 60)  # sets of equal fingerprints are in one tree node
+    part = pd.DataFrame({"key": rng.integers(0, 5, n), "fp": rng.choice(few, n), "label": rng.integers(0, 4, n), "size": rng.integers(20, 40, n), "at": rng.integers(1, 9, n), "asks": rng.random(n) < 0.5})
+    part = part.sort_values(["key", "fp"], ignore_index=True)
+    got = [(int(x), int(y)) for a, b in similar.tree_pairs(part) for x, y in zip(a, b, strict=True)]
+    rows = list(part.itertuples(index=False))
+    want = set()
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows):
+            near = (int(a.fp) ^ int(b.fp)).bit_count() <= similar.RADIUS and 5 * min(a.size, b.size) >= 4 * max(a.size, b.size)
+            left = 1 + min(a.size - a.at, b.size - b.at)
+            if a.asks and a.key == b.key and a.label != b.label and near and 9 * left >= 4 * (a.size + b.size):
+                want.add((i, j))
+    assert len(want) > 200 and len(got) == len(set(got)) and set(got) == want and searched == [similar.RADIUS]
