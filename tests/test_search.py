@@ -71,3 +71,20 @@ def test_visits_fewer_pairs_and_joins_nothing_whole(spark, capsys) -> None:
     assert seen["queries"] == 60 and seen["blocks"] >= 2000 / 32 and seen["visited"] < 0.35 * 60 * seen["blocks"], seen
     search.knn(frame(spark, q, "query"), frame(spark, t, "target"), 5, block=32, small=0).explain()
     assert "Cartesian" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize(("shift", "scale"), [(0.0, 1.0), (8e6, 1 / 64)])
+def test_no_row_for_a_query_and_a_block(spark, monkeypatch, shift: float, scale: float) -> None:
+    """Vectors without structure leave nearly all blocks to be visited; tables between the rounds grow with the queries only."""
+    rng, rows, write = np.random.default_rng(9), [], search.written
+    t, q = rng.normal(0, 1, (3000, 24)) * scale + shift, rng.normal(0, 1, (200, 24)) * scale + shift
+
+    def counted(df):
+        out = write(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(search, "written", counted)
+    monkeypatch.setattr(search, "TILE", 1 << 16, raising=False)  # many tiles and packs
+    assert got(search.knn(frame(spark, q, "query"), frame(spark, t, "target"), 5, block=8, small=0)) == brute(q, t, 5)
+    assert max(rows) <= 10 * len(q), rows
