@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placegrid.functions.numbers import NUMBER, clamp, fenced
+from placegrid.functions.numbers import NUMBER, clamp, fenced, kept_once
 
 #: A reason keeps its JSON type, as a number is no reason.
 POINT = "center string, weight string, reasoning variant"
@@ -19,18 +19,32 @@ POINT = "center string, weight string, reasoning variant"
 def clean_initial(text: Column) -> Column:
     """The JSON part of a reply: fences and trailing commas dropped, then the outermost list or object, whichever
     starts first; "none" in any case becomes the token None."""
+    t = _unfenced(text)
+    return _outermost(t, *_found(t))
+
+
+def _unfenced(text: Column) -> Column:
     t = F.regexp_replace(text, "(?i)```json|```", "")
-    t = F.regexp_replace(F.regexp_replace(t, r",\s*([}\]])", "$1"), r"^\s+|\s+$", "")
-    found_list, found_map = F.regexp_extract(t, r"(?s)(\[.*\])", 1), F.regexp_extract(t, r"(?s)(\{.*\})", 1)
-    at_list, at_map = F.instr(t, "["), F.instr(t, "{")
-    list_first = (found_list != "") & ((found_map == "") | (at_list < at_map))
+    return F.regexp_replace(F.regexp_replace(t, r",\s*([}\]])", "$1"), r"^\s+|\s+$", "")
+
+
+def _found(t: Column) -> tuple[Column, Column]:
+    """The outermost list and the outermost object; empty: none."""
+    return F.regexp_extract(t, r"(?s)(\[.*\])", 1), F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+
+
+def _outermost(t: Column, found_list: Column, found_map: Column) -> Column:
+    list_first = (found_list != "") & ((found_map == "") | (F.instr(t, "[") < F.instr(t, "{")))
     body = F.when(list_first, found_list).when(found_map != "", found_map).otherwise(t)
     return F.when(F.lower(t) == "none", F.lit("None")).otherwise(F.trim(body))
 
 
 def kind(text: Column) -> Column:
     """object, array, other, or NULL if the text is not JSON."""
-    v = F.schema_of_variant(F.try_parse_json(text))
+    return _kind(F.schema_of_variant(F.try_parse_json(text)))
+
+
+def _kind(v: Column) -> Column:
     return F.when(v.startswith("OBJECT"), "object").when(v.startswith("ARRAY"), "array").when(v.isNotNull(), "other")
 
 
@@ -84,8 +98,11 @@ def points(text: Column) -> Column:
 
 
 def _point(p: Column) -> Column:
-    xy = F.from_json(p["center"], "array<string>")
-    return F.struct(F.size(xy).alias("n"), weight(F.get(xy, F.lit(0))).alias("x"), weight(F.get(xy, F.lit(1))).alias("y"), weight(p["weight"]).alias("w"), F.when(F.schema_of_variant(p["reasoning"]) == "STRING", F.trim(F.try_variant_get(p["reasoning"], "$", "string"))).alias("reasoning"))
+    place = lambda xy: F.struct(F.size(xy).alias("n"), weight(F.get(xy, F.lit(0))).alias("x"), weight(F.get(xy, F.lit(1))).alias("y"))
+    at = F.transform(F.array(F.from_json(p["center"], "array<string>")), place)  # of one item, so that the center is parsed once
+    reasoning = F.when(F.schema_of_variant(p["reasoning"]) == "STRING", F.trim(F.try_variant_get(p["reasoning"], "$", "string")))
+    whole = F.transform(at, lambda c: F.struct(c["n"].alias("n"), c["x"].alias("x"), c["y"].alias("y"), weight(p["weight"]).alias("w"), reasoning.alias("reasoning")))
+    return F.get(whole, F.lit(0))
 
 
 def verify_points(items: Column) -> Column:
@@ -116,12 +133,31 @@ def fitting(rows: Column) -> Column:
 def processed(text: Column, form: str, grid: int = 4) -> Column:
     """struct(result, format_verified, content_verified, no_weighting) of a raw reply; form: grid or points."""
     clean = clean_initial(text)
-    none = F.lower(clean) == "none"
     if form == "grid":
-        right, content = kind(clean) == "object", verify_grid(as_map(clean), grid)
-    else:
-        right, content = kind(clean) == "array", verify_points(points(clean))
-    right = F.coalesce(right, F.lit(False))
+        return _flags(clean, kind(clean) == "object", verify_grid(as_map(clean), grid))
+    return _flags(clean, kind(clean) == "array", verify_points(points(clean)))
+
+
+def process(rows: DataFrame, text: str, form: str, name: str, grid: int = 4) -> DataFrame:
+    """``rows`` with ``name``, what ``processed`` makes of a column. Each step's value is made once, where a single
+    expression would clean and parse the text again for each use."""
+    steps = ["_t", "_list", "_map", "_clean", "_kind", "_parsed", "_good"]
+    c = {n: F.col(n) for n in steps}
+    rows = kept_once(rows.withColumn("_t", _unfenced(F.col(text))), "_t")
+    found_list, found_map = _found(c["_t"])
+    rows = kept_once(rows.withColumn("_list", found_list).withColumn("_map", found_map), "_list", "_map")
+    rows = kept_once(rows.withColumn("_clean", _outermost(c["_t"], c["_list"], c["_map"])), "_clean")
+    rows = kept_once(rows.withColumn("_kind", F.schema_of_variant(F.try_parse_json("_clean"))), "_kind")
+    right = _kind(c["_kind"]) == ("object" if form == "grid" else "array")
+    parsed = as_map(c["_clean"]) if form == "grid" else points(c["_clean"])
+    rows = kept_once(rows.withColumn("_parsed", F.when(right, parsed)), "_parsed")
+    rows = kept_once(rows.withColumn("_good", F.when(right, numbers(c["_parsed"], grid) if form == "grid" else valid_rows(c["_parsed"]))), "_good")
+    content = in_range(c["_good"]) if form == "grid" else all_valid(c["_good"])
+    return kept_once(rows.withColumn(name, _flags(c["_clean"], right, content)), name).drop(*steps)
+
+
+def _flags(clean: Column, right: Column, content: Column) -> Column:
+    none, right = F.lower(clean) == "none", F.coalesce(right, F.lit(False))
     return F.struct(
         F.when(~none, clean).alias("result"), (none | right).alias("format_verified"), (none | (right & content)).alias("content_verified"), none.alias("no_weighting"),
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from placegrid.functions import jsonclean as J
 from placegrid.functions import paths as P
 from placegrid.functions import prompts
+from placegrid.plans import reference
 
 
 def evaluated(spark, column, values, name="v"):
@@ -98,3 +99,15 @@ def test_markers(spark):
 def test_missing_prompt_raises(spark):
     with pytest.raises(Exception, match="no such prompt"):
         evaluated(spark, prompts.filled(F.col("v"), {}), [None])
+
+
+def test_replies_are_cleaned_and_parsed_once(spark, tmp_path):
+    """Each step's value is made once, where the query had cleaned and parsed a reply again for each use."""
+    odd = [None, "", " none\n", "[]", "{}", "[1,]", "x [{\"center\":[0.5,0.25],\"weight\":1,\"reasoning\":\"a\"}] y", "[{\"center\":\"no\",\"weight\":1,\"reasoning\":\"a\"}]", "{\"A1\":1} [", "```json\n{" + ",".join(f"\"{k}\":1" for k in J.grid_keys()) + ",}```", "[{\"center\":[0.5,2],\"weight\":1,\"reasoning\":\"a\"}", "7"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "i int, v string").repartition(2)
+    for form in ("points", "grid"):
+        once = J.process(rows, "v", form, "p").select("i", "p.*")
+        assert {tuple(r) for r in once.collect()} == {tuple(r) for r in rows.select("i", J.processed(F.col("v"), form).alias("p")).select("i", "p.*").collect()}
+    spark.range(30).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    plan = reference.process_replies(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert (plan.count("regexp_replace("), plan.count("regexp_extract(")) == (6, 4)
