@@ -429,3 +429,43 @@ def visits(queries: DataFrame, references: DataFrame, k: int, query: str = "quer
     counts = pruned(usable(queries, vector, size), index, k, query, vector, size, counted=True)
     counts = counts.crossJoin(index.tiles.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0)).alias("blocks")))  # one row each
     return counts.select(F.col("n").alias("queries"), "blocks", F.col("visits").alias("visited"), F.try_divide("visits", F.col("n") * F.col("blocks")).alias("share"))
+
+
+def knn_within(queries: DataFrame, references: DataFrame, k: int, by: str, query: str = "query", target: str = "target", vector: str = "features") -> DataFrame:
+    """The same among the references of a query's own value of ``by``, an integer (NULL: none); queries without any drop out.
+
+    References and queries are packed by it, and each pack meets the tiles of its value. No row is made for a pair.
+    """
+    size, total = lengths(references, vector)
+    kind = {"query": stored(queries, vector), "target": stored(references, vector)}
+
+    def flat(rows: DataFrame, key: str, side: str) -> DataFrame:
+        as_ = kind[side]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield record([b.column(0), b.column(1), [v.tobytes() for v in matrix(b.column(2), size).astype(as_)], np.full(b.num_rows, np.inf)], "by long, query long, v binary, bound double")
+
+        rows = usable(rows.where(F.col(by).isNotNull()), vector, size)
+        return rows.select(F.col(by).cast("long"), F.col(key).cast("long"), vector).mapInArrow(run, "by long, query long, v binary, bound double")
+
+    width = {side: size * np.dtype(as_).itemsize for side, as_ in kind.items()}
+    tiles = packs(flat(references, target, "target"), "by", width["target"], total, True)
+    tiles = written(tiles.select(F.col("tile").alias("by"), F.monotonically_increasing_id().alias("tile"), F.col("ids").alias("keys"), F.col("vs").alias("vectors")))
+    n = queries.count()
+    asking = packs(flat(queries, query, "query"), "by", width["query"], n, True).withColumnRenamed("tile", "by")
+    asking = asking.join(F.broadcast(tiles.select("by", "tile")), "by").select("tile", "ids", "vs", "bounds")  # one row a tile
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {name: b.column(j)[i].as_py() for j, name in enumerate(b.schema.names)}
+                t, keys = unpacked(row["vectors"], size, kind["target"]), np.frombuffer(row["keys"], "<i8")
+                for ids, q, bounds in pieces(row, size, kind["query"]):
+                    at, key, d2 = nearest(q, t, keys, k, bounds)
+                    yield record([ids[at], key, d2], FOUND)
+
+    found = met(asking, tiles, n * width["query"], ("keys", "vectors")).mapInArrow(run, FOUND)
+    out = written(top_k(found, k))
+    discard(tiles)
+    return out.withColumnsRenamed({"query": query, "target": target})

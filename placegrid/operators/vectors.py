@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from placegrid.operators.search import knn, top_k
+from placegrid.operators.search import knn, knn_within, top_k
 
-__all__ = ["expanded", "knn", "l2_normalized", "pooled", "projected", "rerank", "squared_l2", "top_k", "unusable"]
+__all__ = ["expanded", "knn", "knn_within", "l2_normalized", "pooled", "projected", "rerank", "squared_l2", "top_k", "unusable"]
 
 EPS, POWER = 1e-6, 3.0
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from placegrid.operators import search, vectors
+from placegrid.plans import reference
 
 
 def frame(spark, rows: np.ndarray, name: str, first: int = 0):
@@ -88,3 +89,30 @@ def test_no_row_for_a_query_and_a_block(spark, monkeypatch, shift: float, scale:
     monkeypatch.setattr(search, "TILE", 1 << 16, raising=False)  # many tiles and packs
     assert got(search.knn(frame(spark, q, "query"), frame(spark, t, "target"), 5, block=8, small=0)) == brute(q, t, 5)
     assert max(rows) <= 10 * len(q), rows
+
+
+def test_within_a_label(spark, monkeypatch) -> None:
+    """The nearest of a query's own label, without a row for each of its candidates; labels may be missing or have no references."""
+    monkeypatch.setattr(search, "TILE", 1 << 13)  # labels of several tiles and packs
+    rng = np.random.default_rng(10)
+    t, q = rng.integers(0, 4, (1500, 3)).astype(float), rng.integers(0, 4, (150, 3)).astype(float)
+    label = lambda i: None if i % 11 == 0 else i % 3 if i % 5 else 0
+    of = lambda rows, name, only: spark.createDataFrame([(i, v.tolist(), label(i) if only is None or label(i) != only else 77) for i, v in enumerate(rows)], f"{name} long, features array<float>, label int").repartition(3)
+    found = got(search.knn_within(of(q, "query", 2), of(t, "target", None), 4, "label"))
+    want = {}
+    for i, a in enumerate(q):
+        own = [j for j in range(len(t)) if label(j) == label(i)] if label(i) in (0, 1) else []
+        if own:
+            want[i] = sorted(own, key=lambda j: (((t[j] - a) ** 2).sum(), j))[:4]
+    assert found == want
+
+
+def test_candidates_of_a_label_are_never_paired(spark, tmp_path, monkeypatch) -> None:
+    """The query on one label that all share: Spark's joins make a row for a pack of queries and a tile, not for a pair."""
+    rng = np.random.default_rng(11)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(rng.normal(0, 1, (2000, 4)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    made, meet = [], search.met
+    monkeypatch.setattr(search, "met", lambda *a: (made.append((out := meet(*a)).count()), out)[1])
+    got_ = reference.knn_candidate_rerank(spark, str(tmp_path)).collect()
+    assert made and sum(made) < 1000 and len(got_) == 200 * 5  # of 360,000 pairs
