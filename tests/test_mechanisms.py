@@ -250,6 +250,62 @@ def test_stateful_spacing_equals_the_batch(spark, tmp_path) -> None:
     assert tidy(out, "key") == tidy(want, "user")
 
 
+def test_state_of_calls_grows_with_portions() -> None:
+    """A portion of many calls of many keys is one value and one timer; late portions, keys seen before and null keys included."""
+    class State:
+        def __init__(self) -> None:
+            self.rows: list = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows) if self.many else self.rows[0]
+        appendList = lambda self, rows: self.rows.extend(rows)  # noqa: E731, N815
+
+        def put(self, rows) -> None:
+            self.rows = list(rows)
+
+        def update(self, row) -> None:
+            self.rows = [row]
+
+        def clear(self) -> None:
+            self.rows = []
+
+    class Handle:
+        def __init__(self) -> None:
+            self.timers, self.states = [], {}
+
+        def state(self, name, many):
+            self.states[name] = State()
+            self.states[name].many = many
+            return self.states[name]
+
+        getListState = lambda self, name, schema: self.state(name, True)  # noqa: E731, N815
+        getValueState = lambda self, name, schema: self.state(name, False)  # noqa: E731, N815
+        registerTimer = lambda self, ms: self.timers.append(ms)  # noqa: E731, N815
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: self.ms  # noqa: E731, N815
+
+    r, handle, clock, spacing, got, calls = random.Random(4), Handle(), Clock(), limits.Spacing(500_000), [], []
+    spacing.init(handle)
+    for portion, ms in enumerate((-1, 40_000, 70_000, 200_000)):
+        new = pd.DataFrame([(r.choice([None, *"abcdefgh"]), r.randrange(max(ms, 0) * 1000 + 1, 100_000_000)) for _ in range(300 if portion < 3 else 0)], columns=["key", "us"])
+        calls += new.itertuples(index=False, name=None)
+        values = len(handle.states["waiting"].rows)
+        clock.ms = ms
+        list(spacing.handleInputRows((7,), iter([new]), clock))
+        assert len(handle.states["waiting"].rows) - values <= 1 and len(handle.timers) <= 2 * portion + 1
+        for t in sorted(t for t in handle.timers if t <= ms):
+            handle.timers.remove(t)
+            got += [x for b in spacing.handleExpiredTimer((7,), clock, None) for x in b[["key", "us", "gap_s", "early"]].itertuples(index=False, name=None)]
+    want, last = [], {}
+    for key, us in sorted(calls, key=lambda c: c[1]):
+        gap = us - last[key] if key in last else None
+        want.append((key, us, None if gap is None else gap / 1e6, gap is not None and gap < 500_000))
+        last[key] = us
+    tidy = lambda rows: sorted((str(k), u, -1 if g is None or pd.isna(g) else g, bool(e)) for k, u, g, e in rows)
+    assert len(got) == 900 and tidy((None if pd.isna(k) else k, *x) for k, *x in got) == tidy(want)
+
+
 # Files
 
 
