@@ -162,6 +162,25 @@ def test_every_training_document_is_learned_from(spark, monkeypatch) -> None:
     assert len(held) > 5 and gain > 0.2, gain
 
 
+def test_every_token_is_learned_once_a_pass(monkeypatch) -> None:
+    n, r, seen = Network(small(), hidden=5), random.Random(9), []
+    docs = [np.array([r.randrange(1, 15) for _ in range(r.randrange(30))], np.int32) for _ in range(40)]
+    whole = n.learn
+    monkeypatch.setattr(n, "learn", lambda before, token, *rest: (seen.extend(zip(before.ravel().tolist(), token.ravel().tolist(), strict=True)), whole(before, token, *rest))[1])
+    monkeypatch.setattr(recurrent, "WINDOWS", 2)
+    n.train(docs, streams=7, window=5)
+    assert Counter(seen) == Counter(x for d in docs for x in zip([0, *d.tolist()], [*d.tolist(), 0], strict=True))
+    assert np.isfinite(n.vector()).all()
+
+
+def test_large_corpora_have_as_many_passes(spark, monkeypatch) -> None:
+    turns, counts = [], recurrent.vocabulary
+    monkeypatch.setattr(recurrent, "vocabulary", lambda *a: ((got := counts(*a))[0]._replace(tokens=1 << 40), got[1]))
+    monkeypatch.setattr(recurrent, "learned", lambda network, rows, turn: turns.append(turn))
+    assert recurrent.log_likelihoods(spark.createDataFrame([("a b", 1, 1, "w"), ("a", 7, 1, "w")], SCHEMA)).count() == 2
+    assert turns == list(range(recurrent.ROUNDS * recurrent.PASSES))
+
+
 def test_rounds_take_every_document_once(spark) -> None:
     n, r = Network(small(), hidden=5), random.Random(6)
     sizes = [[r.randrange(40) for _ in range(r.randint(1, 9))] for _ in range(7)]
